@@ -9,7 +9,6 @@ gives one hash of the kept terms that it holds.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,17 +25,16 @@ class IMatchConfig:
     written into the plan; a larger one is joined instead.
     """
 
-    low: float = 0.004
+    low: float = 0.01
     high: float = 0.25
-    subsets: int = 24
-    #: A term is in a subset with probability 1 / spread.
-    spread: int = 10
+    #: Random subsets into which the first hexadecimal digit of a term's md5 deals the lexicon: fixed by that digit.
+    subsets: int = 16
     inline: int = 20_000
 
 
 def terms(text: Column) -> Column:
     """Distinct lower-cased runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def lexicon(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), text_col: str = "text") -> DataFrame:
@@ -50,25 +48,18 @@ def lexicon(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), text_col: str =
     return df.where((F.col("df") >= max(2.0, cfg.low * n)) & (F.col("df") <= cfg.high * n))
 
 
-def in_subset(term: str, j: int, cfg: IMatchConfig) -> bool:
-    """Whether subset ``j`` holds ``term``: by the first 8 hexadecimal digits of md5(term:j)."""
-    return int(hashlib.md5(f"{term}:{j}".encode()).hexdigest()[:8], 16) % cfg.spread == 0
+def subset_hashes(kept: str) -> Column:
+    """The hash of each subset's terms among the sorted column ``kept`` (16 hexadecimal digits, or none), joined by ``-``.
 
-
-def _hash(kept: Column) -> Column:
-    return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.substring(F.md5(F.array_join(kept, " ")), 1, 16))
-
-
-def fingerprint_column(text: Column, words: list[str], cfg: IMatchConfig) -> Column:
-    """The subsets' hashes (16 hexadecimal digits, or none where no term is held), joined by ``-``."""
-    kept = F.array_sort(F.filter(terms(text), lambda t: t.isin(words))) if words else F.array().cast("array<string>")
-    return F.concat_ws(
-        "-",
-        *(
-            _hash(F.filter(kept, lambda t, s=s: t.isin(s)) if s else F.array().cast("array<string>"))
-            for s in ([w for w in words if in_subset(w, j, cfg)] for j in range(cfg.subsets))
-        ),
+    ``kept`` holds terms behind their subset's digit. The md5 of no terms is
+    the fixed value that stands for none.
+    """
+    none = "'d41d8cd98f00b204e9800998ecf8427e'"
+    parts = ", ".join(
+        f"substring(replace(md5(array_join(filter({kept}, x -> startswith(x, '{digit}')), ' ')), {none}, ''), 1, 16)"
+        for digit in "0123456789abcdef"
     )
+    return F.expr(f"concat_ws('-', {parts})")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,3 +68,35 @@ def likeness(a: Column, b: Column) -> Column:
     used = F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != ""))
     same = F.filter(used, lambda p: p["x"] == p["y"])
     return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(used))
+
+
+class Fingerprinter:
+    """Fingerprints against the lexicon of one table.
+
+    The lexicon is collected when its checked size is at most ``inline``;
+    beyond it, terms are exploded, joined with the lexicon table and gathered
+    again, which needs a shuffle and nothing on the driver.
+    """
+
+    def __init__(self, docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), text_col: str = "text"):
+        self.cfg = cfg
+        self.table = lexicon(docs, cfg, text_col).select("term")
+        head = self.table.limit(cfg.inline + 1).collect()
+        self.words = sorted(r[0] for r in head) if len(head) <= cfg.inline else None
+
+    def add(self, df: DataFrame, text_col: str, name: str) -> DataFrame:
+        """``df`` with the fingerprint of ``text_col`` (null counts as empty) as ``name``."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        if self.words is None:
+            texts = df.select(F.sha2(text, 256).alias("__key"), text.alias("__text")).dropDuplicates(["__key"])
+            found = texts.select("__key", F.explode(terms(F.col("__text"))).alias("term")).join(self.table, "term")
+            kept = found.groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__kept"))
+            df = df.withColumn("__key", F.sha2(text, 256)).join(kept, "__key", "left").drop("__key")
+            df = df.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<string>")))
+        elif self.words:  # terms are letters and digits, so they need no escape; Catalyst makes a hash set of the list
+            among = ", ".join(f"'{w}'" for w in self.words)
+            df = df.withColumn("__terms", terms(text)).withColumn("__kept", F.expr(f"array_sort(filter(__terms, t -> t IN ({among})))")).drop("__terms")
+        else:
+            df = df.withColumn("__kept", F.array().cast("array<string>"))
+        coded = F.transform("__kept", lambda t: F.concat(F.substring(F.md5(t), 1, 1), t))
+        return df.withColumn("__kept", coded).withColumn(name, subset_hashes("__kept")).drop("__kept")

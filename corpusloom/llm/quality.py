@@ -85,28 +85,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(labelled: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
-    """Fit on ``labelled`` (doc_id, text, quality 0/1); rows with a null among them are left out.
-
-    The sample of each class is the ``2 * sample_docs`` rows with the smallest
-    hash of their id; every other one trains the dictionary and the rest the
-    calibration, weighted to the classes' counts over all labelled rows.
-    With one class missing, or too little text for a dictionary, the model
-    scores every text by the share of good rows.
+def fit(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) names.
+
+    The sample of each class is the ``2 * sample_docs`` labels with the
+    smallest hash of their id; every other one trains the dictionary and the
+    rest the calibration, weighted to the classes' counts over all labels.
+    Rows with a null among these columns are left out. With one class missing,
+    or too little text for a dictionary, the model scores every text by the
+    share of good rows.
     """
-    rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND quality IN (0, 1)")
+    rows = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
     count = {int(r[0]): int(r[1]) for r in rows.groupBy("quality").count().collect()}
     longest = cfg.block * cfg.sample_blocks
-    picked = {}
-    for q in (0, 1):
-        got = (
-            rows.where(F.col("quality") == q)
-            .select(F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h"), "doc_id", F.substring("text", 1, longest).alias("text"))
-            .orderBy("h", "doc_id", "text")
-            .limit(2 * cfg.sample_docs)
-            .collect()
-        )
-        picked[q] = [r["text"].encode()[:longest] for r in got]
+    h = F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h")
+    named = [rows.where(F.col("quality") == q).select(h, "doc_id", "quality").orderBy("h", "doc_id").limit(2 * cfg.sample_docs) for q in (0, 1)]
+    got = (
+        docs.where("text IS NOT NULL")
+        .select("doc_id", F.substring("text", 1, longest).alias("text"))
+        .join(F.broadcast(named[0].unionByName(named[1])), "doc_id")  # 4 * sample_docs rows at most
+        .orderBy("h", "doc_id", "text")
+        .limit(4 * cfg.sample_docs)
+        .select("quality", "text")
+        .collect()
+    )
+    picked = {q: [r["text"].encode()[:longest] for r in got if r["quality"] == q] for q in (0, 1)}
     prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
     flat = QualityModel(b"", b"", 0.0, float(np.log(prior / (1 - prior))), cfg.block, cfg.level)
     dictionaries = []
@@ -133,52 +136,39 @@ def fit(labelled: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityMod
     return QualityModel(model.good, model.bad, slope, offset, cfg.block, cfg.level)
 
 
-def _scorer(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: QualityModel = model.value
-        sizer = _Sizer(m) if m.good else None
-        for batch in batches:
-            names = batch.schema.names
-            at = names.index("text")
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            d = np.array([sizer.difference(t or b"") if sizer else 0.0 for t in texts], float)
-            score = 1 / (1 + np.exp(-np.clip(m.slope * d + m.offset, -30, 30)))
-            kept = [i for i in range(len(names)) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(score)], [*(names[i] for i in kept), "score"]
-            )
-
-    return run
+def _probabilities(model: QualityModel, sizer: _Sizer | None, texts: list[bytes | None]) -> np.ndarray:
+    d = np.array([sizer.difference(t or b"") if sizer else 0.0 for t in texts], float)
+    return 1 / (1 + np.exp(-np.clip(model.slope * d + model.offset, -30, 30)))
 
 
-def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``, the probability that a text is good.
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row: the probability that its whole text is good.
 
-    Every row is scored on its whole text; null counts as empty, and an empty
-    text gets the score of a difference of 0.
+    Null counts as empty, an empty text gets the score of a difference of 0,
+    and repeated rows score alike. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or "text" in keep)
-    if "text" in keep:
-        raise ValueError("keep the text by a join on the caller's side")
-    return rows.mapInArrow(_scorer(shared), f"{schema}, score double")
 
-
-def _joiner(model, threshold: float, text_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: QualityModel = model.value
+        m: QualityModel = shared.value
         sizer = _Sizer(m) if m.good else None
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_at)).cast(pa.binary()).to_pylist()
-            d = np.array([sizer.difference(t or b"") if sizer else 0.0 for t in texts], float)
-            p = 1 / (1 + np.exp(-np.clip(m.slope * d + m.offset, -30, 30)))
-            yield batch.filter(pa.array(p >= threshold))
+            p = _probabilities(m, sizer, batch.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return run
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_joiner(shared, threshold, text_col), docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: QualityModel = shared.value
+        sizer = _Sizer(m) if m.good else None
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(_probabilities(m, sizer, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

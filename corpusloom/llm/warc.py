@@ -141,7 +141,7 @@ def write_archives(records: DataFrame, cfg: WarcConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close():
             data = b"".join([*parts, z.flush()])
-            return pa.RecordBatch.from_arrays([pa.array([data[:0].hex() + hashlib.sha1(data).hexdigest()]), pa.array([data])], ["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data])], ["archive", "content"])
 
         z, parts, size = zlib.compressobj(cfg.level, zlib.DEFLATED, _GZIP), [], 0
         for batch in batches:
