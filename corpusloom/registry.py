@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusloom.plans import corpus, evals, runs
+
+QUERIES: dict = {**corpus.QUERIES, **evals.QUERIES, **runs.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **evals.ORACLES, **runs.ORACLES}
