@@ -49,11 +49,11 @@ def _urls() -> str:
                 f"{name}{i + 1} AS MATERIALIZED (SELECT s.host, seed * {1 - cfg.damping} + coalesce(f, 0) * {cfg.damping} AS r FROM {name}s s LEFT JOIN "
                 f"(SELECT dst AS host, sum(r * w) AS f FROM {links} JOIN {name}{i} ON src = host GROUP BY 1) USING (host))"
             )
-    last = f"(SELECT count(*) FROM edges) = 0"
+    last = "(SELECT count(*) FROM edges) = 0"
     end = cfg.iterations
     rank = lambda x: f"CASE WHEN {last} THEN {x}s.seed ELSE {x}{end}.r END"
     parts.append(
-        f"v AS (SELECT ts.host, CASE WHEN {rank('d')} > {rank('t')} AND {rank('d')} * (SELECT count(*) FROM hosts) > {cfg.floor} THEN 'block' ELSE 'allow' END AS graph "
+        f"v AS (SELECT ts.host, CASE WHEN {rank('d')} > {rank('t')} AND {rank('d')} > {cfg.floor} * (CASE WHEN {last} THEN (SELECT sum(seed) FROM ds) ELSE (SELECT sum(r) FROM d{end}) END) / (SELECT count(*) FROM hosts) THEN 'block' ELSE 'allow' END AS graph "
         f"FROM ts JOIN ds USING (host) JOIN t{end} USING (host) JOIN d{end} USING (host))"
     )
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(action, graph) AS verdict FROM j JOIN v USING (host)"
