@@ -14,15 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[tuple[object, str]] = []
+_LOCAL: dict[str, str] = {}  # application -> folder, where the session names none
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _FOLDERS.append((spark, root))
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+            _FOLDERS.append((spark, _LOCAL[app]))
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
