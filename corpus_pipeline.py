@@ -14,8 +14,8 @@ from corpusloom.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Target shares of the tokens by domain: clean text is taken a little more than once, the rest less often.
-SHARES = {"clean": 0.9, "junk": 0.02, "toxic": 0.08}
+#: The part of its own expected tokens that each domain is to keep; clean text takes what the others lose.
+KEEP = {"clean": None, "junk": 0.75, "toxic": 0.75}
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rate says."""
     labels = queries.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, labels, SHARES).select(COLUMNS)
+    return mixing.mix(docs, labels, KEEP, relative=True).select(COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

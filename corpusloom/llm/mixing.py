@@ -130,35 +130,44 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text",
     return docs.mapInArrow(run, f"{schema}, n_tokens long, posterior array<double>")
 
 
-def rate_column(history: list[np.ndarray]) -> Column:
-    """A document's rate: from 1, the steps of ``history`` along its posterior, each cut off at 0."""
+def rate_column(history: list[np.ndarray], floor: Column | None = None) -> Column:
+    """A document's rate: from 1, the steps of ``history`` along its posterior, each cut off at ``floor`` (0, at most 1)."""
+    floor = F.lit(0.0) if floor is None else floor
     r = F.lit(1.0)
     for step in history:
         move = sum((F.col("posterior")[i] * F.lit(float(s)) for i, s in enumerate(step)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
+        r = F.greatest(floor, r - move)
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, cfg: MixConfig = MixConfig()) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(
+    members: DataFrame, targets: np.ndarray, cfg: MixConfig = MixConfig(), floor: Column | None = None
+) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps of the solver for ``members`` (n_tokens, posterior), and the domain totals they reach.
 
+    No rate falls below ``floor``, a column of the posterior. Where that keeps
+    the targets out of reach, the totals are the nearest that the floor allows.
+
     Minimises the squared distance of the totals A r to ``targets`` in the
     metric of M = sum of tokens * p p', by gradient steps that are scaled by
     each document's tokens, so documents with equal posteriors get equal rates.
     With M over all documents a step of length 1 descends; M over those whose
-    rate is above 0 gets there sooner and is used as long as it does descend.
+    rate is above 0 gets there sooner and is used as long as it does descend,
+    the first step, with all at 1, aside. A step that doesn't descend from a
+    ``floor``, where few documents may be free, is taken back.
     Rates are a function of the steps, a few numbers each, so an iteration is
     one pass that returns a few sums; nothing of the size of the corpus is
     kept between iterations.
     """
-    k = len(targets)
+    k, at_zero = len(targets), floor is None
+    floor = F.lit(0.0) if at_zero else floor
     cells = [(i, j) for i in range(k) for j in range(i, k)]
 
     def passed(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         p = [F.col("posterior")[i] * F.col("n_tokens") for i in range(k)]
-        live = F.when(F.col("r") > 0, 1.0).otherwise(0.0)
+        live = F.when((F.col("r") > floor) | F.lit(not history), 1.0).otherwise(0.0)
         got = (
-            members.withColumn("r", rate_column(history))
+            members.withColumn("r", rate_column(history, floor))
             .agg(
                 *(F.sum(F.col("r") * x) for x in p),
                 *(F.sum(live * p[i] * F.col("posterior")[j]) for i, j in cells),
@@ -172,13 +181,18 @@ def fit_rates(members: DataFrame, targets: np.ndarray, cfg: MixConfig = MixConfi
 
     history: list[np.ndarray] = []
     totals, whole = passed(history)
-    best, live = np.inf, whole
-    for _ in range(cfg.iterations):
+    best, live, trusted = np.inf, whole, True
+    for turn in range(cfg.iterations):
         off = totals - targets
         distance = float(off @ np.linalg.pinv(whole, hermitian=True) @ off)
         if np.abs(off).max() <= cfg.tolerance * max(1.0, np.abs(targets).max()) or best - distance <= cfg.tolerance * distance < np.inf and distance <= best:
             break
-        history.append(np.linalg.pinv(live if distance < best else whole, hermitian=True) @ off)
+        if not at_zero and trusted and distance > best:
+            history.pop()
+            totals, trusted = before, False
+            off = totals - targets
+        before, trusted = totals, trusted and (at_zero or turn < cfg.iterations - 1)
+        history.append(np.linalg.pinv(live if trusted and distance < best else whole, hermitian=True) @ off)
         best = min(best, distance)
         totals, live = passed(history)
     return history, totals
@@ -195,31 +209,64 @@ def target_tokens(members: DataFrame, shares: np.ndarray) -> np.ndarray:
     return np.asarray(shares, float) / sum(shares) * total
 
 
+def kept_tokens(members: DataFrame, keep: list[float | None]) -> np.ndarray:
+    """Target tokens by domain, relative to the expected ones of ``members`` itself.
+
+    A domain with a number is to have that part of its own expected tokens;
+    those with None share what that leaves of all tokens, each in proportion
+    to what it has, so they never have to lose any.
+    """
+    got = members.agg(*(F.sum(F.col("posterior")[i] * F.col("n_tokens")) for i in range(len(keep)))).first()
+    own = np.array([x or 0.0 for x in got])
+    rest = np.array([k is None for k in keep])
+    out = own * [1.0 if k is None else k for k in keep]
+    if own[rest].sum() > 0:
+        out[rest] *= (own.sum() - out[~rest].sum()) / own[rest].sum()
+    return out
+
+
+def whole_floor(keep: list[float | None]) -> Column:
+    """1 for a document that most likely belongs to a domain with None in ``keep``, else 0."""
+    p = [F.col("posterior")[i] for i in range(len(keep))]
+    best = F.array_max("posterior")
+    return F.when(F.coalesce(*(F.when(x == best, F.lit(True)) for x, k in zip(p, keep, strict=True) if k is None), F.lit(False)), 1.0).otherwise(0.0)
+
+
+def fitted_rate(members: DataFrame, shares: list[float | None], cfg: MixConfig, relative: bool) -> Column:
+    """The rate of each of ``members`` by ``shares`` of all tokens or, if ``relative``, of each domain's own."""
+    if not relative:
+        return rate_column(fit_rates(members, target_tokens(members, np.array(shares)), cfg)[0])
+    floor = whole_floor(shares)
+    return rate_column(fit_rates(members, kept_tokens(members, shares), cfg, floor)[0], floor)
+
+
 def mix_rates(
-    docs: DataFrame, labelled: DataFrame, shares: dict[str, float], cfg: MixConfig = MixConfig()
+    docs: DataFrame, labelled: DataFrame, shares: dict[str, float | None], cfg: MixConfig = MixConfig(), relative: bool = False
 ) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate, copies) of every row of ``docs`` (doc_id, text).
 
-    ``shares`` are the domains' target shares of the tokens of ``docs``. A
-    null or empty text has no tokens and gets the rate of its posterior;
-    repeated rows have equal rates; other columns are not read.
+    ``shares`` are the domains' target shares of the tokens of ``docs``. If
+    ``relative``, they are the parts of its own expected tokens that each
+    domain keeps, and None takes what the others lose; a document that is most
+    likely of a domain with None then has a rate of 1 at least. A null or
+    empty text has no tokens and gets the rate of its posterior; repeated rows
+    have equal rates; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit_domains(docs, labelled, tuple(shares), cfg)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = scratch.save(with_posteriors(rows, model, keep_text=False))
-    history, _ = fit_rates(members, target_tokens(members, np.array(list(shares.values()))), cfg)
-    out = members.withColumn("rate", rate_column(history))
+    out = members.withColumn("rate", fitted_rate(members, list(shares.values()), cfg, relative))
     return out.withColumn("copies", copies_column(F.col("rate")))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], cfg: MixConfig = MixConfig()) -> DataFrame:
-    """``docs`` with each row as often as its rate says, in its own columns."""
+def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float | None], cfg: MixConfig = MixConfig(), relative: bool = False) -> DataFrame:
+    """``docs`` with each row as often as its rate says, in its own columns; ``relative`` as in ``mix_rates``."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit_domains(docs, labelled, tuple(shares), cfg)
     narrow = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     members = scratch.save(with_posteriors(narrow, model, keep_text=False))
-    history, _ = fit_rates(members, target_tokens(members, np.array(list(shares.values()))), cfg)
+    rate = fitted_rate(members, list(shares.values()), cfg, relative)
     scratch.drop(members)
-    taken = with_posteriors(docs, model).withColumn("__n", copies_column(rate_column(history))).drop("n_tokens", "posterior")
+    taken = with_posteriors(docs, model).withColumn("__n", copies_column(rate)).drop("n_tokens", "posterior")
     return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(docs.columns)

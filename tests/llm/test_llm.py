@@ -243,6 +243,38 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, []), labels, {"a": 0.5, "b": 0.5}).count() == 0
 
 
+def test_kept_parts_leave_clean_whole(spark):
+    """Whatever the composition, rates of likely clean documents stay at 1 or more and the others' fall."""
+    rng = np.random.default_rng(6)
+    for alpha in ([0.3, 0.05, 0.05], [0.5, 3, 3]):
+        p = rng.dirichlet(alpha, 300)
+        tok = rng.integers(1, 500, 300)
+        rows = [(int(t), [float(v) for v in q]) for t, q in zip(tok, p, strict=True)]
+        members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+        own = (tok[:, None] * p).sum(0)
+        target = mixing.kept_tokens(members, [None, 0.75, 0.75])
+        assert np.allclose(target, [own.sum() - 0.75 * own[1:].sum(), *(0.75 * own[1:])])
+        rate = mixing.fitted_rate(members, [None, 0.75, 0.75], mixing.MixConfig(iterations=8), True)
+        r = np.array([x[0] for x in members.select(rate).collect()])
+        clean = p.argmax(1) == 0
+        assert r[clean].min() >= 1 and r.min() >= 0
+        reached = (r[:, None] * tok[:, None] * p).sum(0)
+        assert reached[0] >= own[0] * (1 - 1e-9)
+
+
+def test_pipeline_mixing_drops_no_clean_document(spark):
+    """Clean documents that are more than 0.9 of the stage's tokens are all written."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    labels = queries.domain_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    few = docs.join(labels.where("domain = 'toxic' AND doc_id % 4 <> 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    model = mixing.fit_domains(few, labels, ("clean", "junk", "toxic"))
+    likely = mixing.with_posteriors(few, model).where("posterior[0] = array_max(posterior)")
+    out = corpus_pipeline.mix_to_targets(spark, few, SF)
+    assert likely.join(out, "doc_id", "left_anti").count() == 0
+
+
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 
