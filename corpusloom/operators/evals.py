@@ -53,6 +53,32 @@ def choices(options: list[Column]) -> Column:
     return F.filter(F.array(*options), lambda o: o.isNotNull() & ~o.isin("", "N/A"))
 
 
+def lettered(options: Column) -> Column:
+    """The options of an array, whole, a line each: ``A. first``, ``B. second``."""
+    return F.array_join(F.transform(options, lambda o, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), o)), "\n")
+
+
+def choice_block(question: Column, options: Column, letter: Column | None = None) -> Column:
+    """A whole question with its lettered options and its answer's letter, or room for it."""
+    end = F.lit("\nAnswer:") if letter is None else F.concat(F.lit("\nAnswer: "), letter)
+    return F.concat(F.lit("Q: "), question, F.lit("\n"), lettered(options), end)
+
+
+def passage_prompt(passage: Column, question: Column, options: Column) -> Column:
+    """A whole passage and question with lettered options and room for the letter."""
+    return F.concat(F.lit("Passage: "), passage, F.lit("\nQuestion: "), question, F.lit("\n"), lettered(options), F.lit("\nAnswer:"))
+
+
+def worked_block(question: Column, answer: Column | None = None) -> Column:
+    """A whole question with its worked answer, or room for it."""
+    return F.concat(F.lit("Q: "), question, F.lit("\nA:") if answer is None else F.concat(F.lit("\nA: "), answer))
+
+
+def few_shot_prompt(shots: Column, target: Column) -> Column:
+    """The blocks of the array ``shots`` and then the target's, parted by blank lines."""
+    return F.array_join(F.concat(shots, F.array(target)), "\n\n")
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """(bench, subgroup, n, n_correct, accuracy) of ``scored`` (bench, subgroup, correct); a null subgroup is the whole."""
     scored.createOrReplaceTempView("__scored")

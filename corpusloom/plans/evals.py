@@ -144,6 +144,12 @@ def prompt_template(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lines.alias("prompt"))
 
 
+@query("SELECT doc_id, 'Q: ' || text || chr(10) || 'A. ' || lang || chr(10) || 'B. ' || source || chr(10) || 'Answer:' AS prompt FROM documents")
+def prompt_whole_question(spark, sf_dir):
+    prompt = evals.choice_block(F.col("text"), F.array("lang", "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
+
+
 # --- teacher logits ------------------------------------------------------------------------------------------------
 
 _E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS DOUBLE) * 20) AS z FROM embeddings)"

@@ -203,3 +203,25 @@ def test_files(spark, tmp_path):
         files.write_shards(packed.select("sequence_id", "tokens"), str(tmp_path / "q"), 2, 7)
     rows = spark.createDataFrame([(2, "b", None), (1, "a", "x")], "k int, t string, u string")
     assert [(r.doc_id, r.text) for r in files.read_documents(rows, "d", ["t", "u"], order_by="k").orderBy("doc_id").collect()] == [("d#0", "a\n\nx"), ("d#1", "b")]
+
+
+def test_prompts_are_whole(spark):
+    long = "why " * 5000
+    q = {"q": long, "p": long + "p", "a": "x", "b": "y" * 300}
+    options = F.array("a", "b")
+    tail = f"A. x\nB. {'y' * 300}\nAnswer:"
+    assert one(spark, evals.choice_block(F.col("q"), options), **q) == f"Q: {long}\n{tail}"
+    assert one(spark, evals.choice_block(F.col("q"), options, F.lit("B")), **q) == f"Q: {long}\n{tail} B"
+    assert one(spark, evals.passage_prompt(F.col("p"), F.col("q"), options), **q) == f"Passage: {long}p\nQuestion: {long}\n{tail}"
+    shots = F.array(evals.worked_block(F.lit("1+1?"), F.lit("#### 2")), evals.worked_block(F.lit("2+2?"), F.lit("#### 4")))
+    want = f"Q: 1+1?\nA: #### 2\n\nQ: 2+2?\nA: #### 4\n\nQ: {long}\nA:"
+    assert one(spark, evals.few_shot_prompt(shots, evals.worked_block(F.col("q"))), **q) == want
+
+
+def test_prompt_query_cuts_nothing(spark):
+    from corpusloom.plans import evals as plans
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in plans.prompt_whole_question(spark, sf).collect():
+        assert r.prompt is None if text[r.doc_id] is None else r.prompt.startswith(f"Q: {text[r.doc_id]}\nA. ")
