@@ -64,9 +64,9 @@ def nearest_rank(rows: DataFrame, value: str, by: str, points: list[float]) -> D
     return picked.select(by, "q", value)
 
 
-def retention(checkpoints: DataFrame, keep_last: int, every: int, key: str = "step") -> DataFrame:
-    """Complete checkpoints with ``kept`` (the last few, and each k-th step) and ``is_latest``; a run has few."""
-    w = Window.orderBy(F.col(key).desc())
+def retention(checkpoints: DataFrame, keep_last: int, every: int, key: str = "step", by: str | None = None) -> DataFrame:
+    """Complete checkpoints with ``kept`` (the last few of each ``by``, and each k-th step) and ``is_latest``; a run has few."""
+    w = Window.partitionBy(*([by] if by else [])).orderBy(F.col(key).desc())
     r = F.row_number().over(w)
     return checkpoints.where("complete").withColumn("__r", r).withColumn("kept", (F.col("__r") <= keep_last) | (F.col(key) % every == 0)).withColumn("is_latest", F.col("__r") == 1).drop("__r")
 

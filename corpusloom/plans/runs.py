@@ -193,6 +193,13 @@ def checkpoint_retention(spark, sf_dir):
     return runs.retention(c, 3, 500).select("step", "kept", "is_latest")
 
 
+@query("SELECT run, step, r <= 3 OR step % 500 = 0 AS kept, r = 1 AS is_latest FROM (SELECT run, step, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM (SELECT user_id AS run, event_id * 100 AS step FROM events WHERE event_id % 7 <> 3))")
+def checkpoint_retention_runs(spark, sf_dir):
+    i = F.col("event_id")
+    c = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), (i * 100).alias("step"), (i % 7 != 3).alias("complete"))
+    return runs.retention(c, 3, 500, by="run").select("run", "step", "kept", "is_latest")
+
+
 def _steps(spark):
     return spark.range(0, 1100, 25).withColumnRenamed("id", "step")
 

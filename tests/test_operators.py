@@ -225,3 +225,19 @@ def test_prompt_query_cuts_nothing(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in plans.prompt_whole_question(spark, sf).collect():
         assert r.prompt is None if text[r.doc_id] is None else r.prompt.startswith(f"Q: {text[r.doc_id]}\nA. ")
+
+
+def test_retention_keeps_the_last_of_each_run(spark):
+    rows = [(r, s * 100, s != 4) for r in (1, 2) for s in range(1, 5 + r)]
+    out = runs.retention(spark.createDataFrame(rows, "run int, step int, complete boolean"), 2, 300, by="run").collect()
+    got = {(r.run, r.step): (r.kept, r.is_latest) for r in out}
+    assert {k[0]: k[1] for k, v in got.items() if v[1]} == {1: 500, 2: 600}
+    assert {k for k, v in got.items() if v[0]} == {(1, 300), (1, 500), (2, 300), (2, 500), (2, 600)}
+
+
+def test_retention_query_judges_every_event(spark):
+    from corpusloom.plans import runs as plans
+
+    sf = "/root/testdata/sf0.001"
+    complete = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 7 <> 3").count()
+    assert plans.checkpoint_retention_runs(spark, sf).count() == complete
