@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import mixture, packing, runs
 from corpusloom.plans import corpus
 from corpusloom.plans.corpus import table
+from corpusloom.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,7 +65,19 @@ def segment_check(spark, sf_dir):
 def manifest_resume_antijoin(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     done = d.where("doc_id % 7 = 0").select("source", "lang").distinct()  # what earlier shards' manifests list
-    return d.join(done, ["source", "lang"], "left_anti").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    return files.pending(d, done, ["source", "lang"]).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(f"""WITH {corpus._spans_sql(True)}, w AS (SELECT DISTINCT sequence_id, sequence_id // {corpus.PER_SHARD} AS shard_id FROM ids), m AS (SELECT shard_id FROM w GROUP BY 1 HAVING shard_id < (SELECT (max(shard_id) + 1) // 2 FROM w))
+ SELECT shard_id, count(*) AS n_sequences, min(sequence_id) AS first_id, max(sequence_id) AS last_id FROM w WHERE shard_id NOT IN (SELECT shard_id FROM m) GROUP BY 1""")
+def manifest_resume_shards(spark, sf_dir):
+    work = corpus._ids(spark, sf_dir).select("sequence_id", F.floor(F.col("sequence_id") / corpus.PER_SHARD).alias("shard_id")).distinct()
+    listed = corpus.shard_manifest(spark, sf_dir).select("shard_id")
+    half = listed.agg(F.floor((F.max("shard_id") + 1) / 2).alias("half"))  # one row
+    done = listed.crossJoin(F.broadcast(half)).where("shard_id < half")  # the earlier run ended half way
+    return files.pending(work, done, ["shard_id"]).groupBy("shard_id").agg(
+        F.count(F.lit(1)).alias("n_sequences"), F.min("sequence_id").alias("first_id"), F.max("sequence_id").alias("last_id")
+    )
 
 
 def _counts(spark, sf_dir):

@@ -241,3 +241,12 @@ def test_retention_query_judges_every_event(spark):
     sf = "/root/testdata/sf0.001"
     complete = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 7 <> 3").count()
     assert plans.checkpoint_retention_runs(spark, sf).count() == complete
+
+
+def test_resume_leaves_half_the_shards_at_any_size(spark):
+    from corpusloom.plans import corpus, runs as plans
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        shards = {r.shard_id for r in corpus.shard_manifest(spark, sf).collect()}
+        left = {r.shard_id for r in plans.manifest_resume_shards(spark, sf).collect()}
+        assert left == {s for s in shards if s >= len(shards) // 2} and left
