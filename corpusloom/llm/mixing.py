@@ -81,10 +81,13 @@ def _softmax_fit(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, k: int, cfg:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], cfg: MixConfig = MixConfig()) -> DomainModel:
     """A classifier of ``domains`` from ``labelled`` (doc_id, domain) and the texts of ``docs``.
 
-    Labels with a null or another domain are left out. A domain without a
+    Labels with a null or another domain, and those of documents that ``docs``
+    lacks or has without text, are left out before any is counted or sampled. A domain without a
     labelled document gets no more than its vanishing prior.
     """
     rows = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(list(domains))).select("doc_id", "domain")
+    here = docs.where("text IS NOT NULL").select("doc_id")
+    rows = Scratch(docs.sparkSession, "labels").save(rows.join(here, "doc_id", "left_semi"))  # joined once, read for each domain
     count = {r[0]: int(r[1]) for r in rows.groupBy("domain").count().collect()}
     h = F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h")
     named = None

@@ -275,6 +275,15 @@ def test_pipeline_mixing_drops_no_clean_document(spark):
     assert likely.join(out, "doc_id", "left_anti").count() == 0
 
 
+def test_labels_of_absent_documents_change_nothing(spark):
+    docs = docs_of(spark, [(i, f"{'good' if i % 2 else 'bad'} words {i}") for i in range(40)])
+    present = [(i, "a" if i % 2 else "b") for i in range(40)]
+    absent = [(i, "b") for i in range(1000, 1400)]
+    cfg = mixing.MixConfig(sample_docs=10, epochs=5)
+    fits = [mixing.fit_domains(docs, spark.createDataFrame(x, "doc_id long, domain string"), ("a", "b"), cfg) for x in (present, present + absent)]
+    assert np.allclose(fits[0].weights, fits[1].weights) and fits[0].weights.any()
+
+
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 
