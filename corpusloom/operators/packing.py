@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.ranges import cut_points, range_of
 
 BOS, EOS, PAD, UNK = 0, 1, 2, 3
 
@@ -27,9 +28,8 @@ def running_start(rows: DataFrame, group: str, key: str, size: Column) -> DataFr
     group is summed by many tasks; only the ranges' totals are summed in one
     window per group.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] or [])) if n > 1 else []
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    cuts = cut_points(rows, key, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = range_of(F.col(key), cuts)
     rows = rows.withColumn("__part", part).withColumn("__size", size)
     totals = rows.groupBy(group, "__part").agg(F.sum("__size").alias("__sum"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

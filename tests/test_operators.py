@@ -250,3 +250,80 @@ def test_resume_leaves_half_the_shards_at_any_size(spark):
         shards = {r.shard_id for r in corpus.shard_manifest(spark, sf).collect()}
         left = {r.shard_id for r in plans.manifest_resume_shards(spark, sf).collect()}
         assert left == {s for s in shards if s >= len(shards) // 2} and left
+
+
+def brute_greedy(rows, cfg):
+    """Sequential greedy removal by its rule: (doc_id -> earliest similar kept one of its group, or None)."""
+    sig = {i: dedup.signature(t or "", cfg.seeds(), cfg.ngram) for i, _, t in rows}
+    kept, out = {}, {}
+    for i, g, _ in sorted(rows):
+        near = lambda j: any(sig[i][k : k + cfg.rows] == sig[j][k : k + cfg.rows] for k in range(0, cfg.permutations, cfg.rows))  # noqa: B023, E731
+        same = [j for j in kept.setdefault(g, []) if near(j) and sum(p == q for p, q in zip(sig[i], sig[j])) >= cfg.threshold * cfg.permutations]
+        out[i] = same[0] if same else None
+        if not same:
+            kept[g].append(i)
+    return out
+
+
+def test_signatures_are_least_seeded_hashes():
+    cfg = dedup.MinHashConfig(permutations=6, bands=2)
+    text = "one two three four five six seven"
+    grams = ["one two three four five", "two three four five six", "three four five six seven"]
+    master = xxhash.xxh64((0xC0FFEE).to_bytes(8, "little")).intdigest().to_bytes(8, "little")
+    seeds = [int.from_bytes(xxhash.xxh64(master + i.to_bytes(8, "little")).digest(), "little") for i in range(6)]
+    assert cfg.seeds() == seeds
+    assert dedup.signature(text, seeds, 5) == [T.signed(min(xxhash.xxh64(g, seed=s).intdigest() for g in grams)) for s in seeds]
+    assert dedup.signature(" \n", seeds, 5) == [0] * 6
+
+
+def test_greedy_dedup_of_large_groups(spark):
+    """Near copies, chains and a group that shares a passage: rounds and pairs both decide as one pass in order does."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(500)]
+    rows = []
+    for _ in range(3):
+        words = [rng.choice(vocab) for _ in range(80)]
+        for _ in range(30):
+            words = [rng.choice(vocab) if rng.random() < 0.01 else w for w in words]
+            rows.append(" ".join(words))
+    passage = [rng.choice(vocab) for _ in range(60)]
+    rows += [" ".join(passage + [rng.choice(vocab) for _ in range(12)]) for _ in range(40)] + ["", None, "x y"]
+    rng.shuffle(rows)
+    rows = [(i, "ab"[i % 2], t) for i, t in enumerate(rows)]
+    cfg = dedup.MinHashConfig()
+    got = {r.doc_id: r.dup_of for r in dedup.greedy_keep(spark.createDataFrame(rows, "doc_id long, source string, text string"), cfg).collect()}
+    assert got == brute_greedy(rows, cfg)
+
+
+def test_dedup_queries_equal_brute_force(spark):
+    from corpusloom.plans import corpus
+
+    sf, cfg = "/root/testdata/sf0.001", dedup.MinHashConfig()
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()]
+    sig = {i: dedup.signature(t or "", cfg.seeds(), cfg.ngram) for i, _, t in rows}
+    assert {r.doc_id: r.signature for r in corpus.minhash_signature(spark, sf).collect()} == {i: ",".join(map(str, s)) for i, s in sig.items()}
+    assert {r.doc_id: r.dup_of for r in corpus.minhash_dedup(spark, sf).collect()} == brute_greedy(rows, cfg)
+    agree = lambda i, j: sum(p == q for p, q in zip(sig[i], sig[j])) / cfg.permutations
+    want = {(i, j): agree(i, j) for i, g, _ in rows for j, h, _ in rows if i < j and g == h and agree(i, j) >= cfg.threshold}
+    got = {(r.a, r.b): r.estimate for r in corpus.lsh_candidates(spark, sf).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
+def test_range_of(spark):
+    from corpusloom.functions.ranges import range_of
+
+    cuts = [-5, 0, 3, 3_000_000_000, 3_000_000_007]
+    keys = [-9, -5, -1, 0, 2, 3, 4, 3_000_000_006, 3_000_000_007, 10**12]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", range_of(F.col("k"), cuts).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: sum(c <= k for c in cuts) for k in keys}
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corpusloom.sources import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_root(cluster)
