@@ -38,27 +38,34 @@ def load_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Further 64-bit hashes from ``h``."""
+    h = h * _U(0x9E3779B97F4A7C15)
+    return (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+
+
 @dataclass(frozen=True)
 class PerfectHash:
-    """Hash and displace: slot = (h1 + d[h0] * h2) mod n, where each bucket's d lets all its keys go to free slots."""
+    """Hash and displace: slot = (start + d * step + d // n) mod n, where each bucket's d lets all its keys go to free slots."""
 
     displacement: np.ndarray
     value: np.ndarray  # slot -> number of the key there
     size: int
 
     @staticmethod
-    def _parts(h: int, n: int, buckets: int) -> tuple[int, int, int]:
-        return (h >> 40) % buckets, (h & 0xFFFFF) % n, ((h >> 20) & 0xFFFFF) % (n - 1) + 1 if n > 1 else 1
+    def _parts(keys: list[bytes], n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, start and step of each key."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), _U, len(keys))
+        more = _spread(h)
+        step = more % _U(max(1, n - 1)) + _U(1)
+        return (_spread(more) % _U(buckets)).astype(np.int64), (h % _U(n)).astype(np.int64), step.astype(np.int64)
 
     @classmethod
     def build(cls, keys: list[bytes]) -> PerfectHash:
         n = len(keys)
-        if n > 1 << 20:
-            raise ValueError("the hash's fields hold 2 ** 20 keys at most")
         buckets = max(1, n // 3)
         by: list[list[tuple[int, int, int]]] = [[] for _ in range(buckets)]
-        for i, k in enumerate(keys):
-            b, start, step = cls._parts(xxhash.xxh3_64_intdigest(k), n, buckets)
+        for i, (b, start, step) in enumerate(zip(*(x.tolist() for x in cls._parts(keys, n, buckets)), strict=True)):
             by[b].append((start, step, i))
         displacement, value = np.zeros(buckets, np.int64), np.full(n, -1, np.int64)
         taken, free = bytearray(n), 0
@@ -81,23 +88,21 @@ class PerfectHash:
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """For each key the number of the only vocabulary key that it can be."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), _U, len(keys))
         n = self.size
-        d = self.displacement[((h >> _U(40)) % _U(len(self.displacement))).astype(np.int64)]
-        start = ((h & _U(0xFFFFF)) % _U(n)).astype(np.int64)
-        step = (((h >> _U(20)) & _U(0xFFFFF)) % _U(max(1, n - 1))).astype(np.int64) + 1
-        return self.value[(start + d * step + d // n) % n]
+        bucket, start, step = self._parts(keys, n, len(self.displacement))
+        d = self.displacement[bucket]
+        return self.value[(start + d % n * step + d // n) % n]
 
 
 def pair_ranks(tokens: list[bytes]) -> dict[int, int]:
-    """(left id << 20 | right id) -> id, for each way to cut a token into two tokens."""
+    """(left id << 32 | right id) -> id, for each way to cut a token into two tokens."""
     ids = {t: i for i, t in enumerate(tokens)}
     out = {}
     for t, i in ids.items():
         for cut in range(1, len(t)):
             left = ids.get(t[:cut])
             if left is not None and (right := ids.get(t[cut:])) is not None:
-                out[left << 20 | right] = i
+                out[left << 32 | right] = i
     return out
 
 
@@ -110,7 +115,7 @@ def merge_bytes(piece: bytes, bytes_ids: list[int], pairs: dict[int, int]) -> li
     n = len(piece)
     part = [bytes_ids[b] for b in piece]
     get = pairs.get
-    heap = [r << 32 | i for i in range(n - 1) if (r := get(part[i] << 20 | part[i + 1])) is not None]
+    heap = [r << 32 | i for i in range(n - 1) if (r := get(part[i] << 32 | part[i + 1])) is not None]
     if not heap:
         return part
     heapify(heap)
@@ -119,17 +124,17 @@ def merge_bytes(piece: bytes, bytes_ids: list[int], pairs: dict[int, int]) -> li
         entry = heappop(heap)
         i = entry & 0xFFFFFFFF
         j = nxt[i]
-        if part[i] < 0 or j >= n or get(part[i] << 20 | part[j]) != entry >> 32:
+        if part[i] < 0 or j >= n or get(part[i] << 32 | part[j]) != entry >> 32:
             continue
         joint = part[i] = entry >> 32
         part[j] = -1
         k = nxt[i] = nxt[j]
         if k < n:
             prev[k] = i
-            if (r := get(joint << 20 | part[k])) is not None:
+            if (r := get(joint << 32 | part[k])) is not None:
                 heappush(heap, r << 32 | i)
         p = prev[i]
-        if p >= 0 and (r := get(part[p] << 20 | joint)) is not None:
+        if p >= 0 and (r := get(part[p] << 32 | joint)) is not None:
             heappush(heap, r << 32 | p)
     return [x for x in part if x >= 0]
 
@@ -188,14 +193,15 @@ class Encoder:
 
 
 def encode_texts(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False
 ) -> DataFrame:
-    """(doc_id, ids) of each row, or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256).
+    """(doc_id, ids) of each row, with ``digests`` (…, n_tokens, ids_sha256, decoded_sha256); without ``ids`` those alone.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and
     of the bytes that decoding those ids gives. ``path`` names a rank file
-    that every worker can read. A null or empty text has no ids; repeated rows
-    are encoded alike; other columns are not read. No special tokens.
+    that the driver reads. A null or empty text has no ids; repeated rows are
+    encoded alike; whole texts are encoded, however long; other columns are
+    not read; an empty table gives no rows. No special tokens.
     """
     tokens = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, PerfectHash.build(tokens)))  # the vocabulary: fixed size
@@ -203,25 +209,23 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, pattern)
         for batch in batches:
-            n, ids_sha, text_sha, lists = [], [], [], []
+            lists, n, ids_sha, text_sha = [], [], [], []
             for t in batch.column(1).to_pylist():
-                ids = encoder.encode(t or "")
+                got = encoder.encode(t or "")
+                if ids:
+                    lists.append(got.astype(np.int32))
                 if digests:
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    text_sha.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                else:
-                    lists.append(ids.astype(np.int32))
-            out = (
-                {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-                if digests
-                else {"ids": pa.array(lists, pa.list_(pa.int32()))}
-            )
+                    n.append(len(got))
+                    ids_sha.append(hashlib.sha256(got.tobytes()).hexdigest())
+                    text_sha.append(hashlib.sha256(encoder.decode(got)).hexdigest())
+            out = {"ids": pa.array(lists, pa.list_(pa.int32()))} if ids else {}
+            if digests:
+                out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["doc_id", *out])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return rows.mapInArrow(run, f"doc_id long, {kind}")
+    kinds = ["ids array<int>"] * ids + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] * digests
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *kinds]))
 
 
 def decode_ids(tokens_df: DataFrame, path: str) -> DataFrame:

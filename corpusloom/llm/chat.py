@@ -16,9 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 #: Fixed strings of the template.
 OPEN, MIDDLE, PART, CLOSE = "<|", "|>", "<+>", "</turn>\n"
 
+#: Turns that are added up, or read back, at a time: the cost of a turn doesn't grow with its conversation.
+_CHUNK = 64
+
 
 def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l")), F.lit("|>"), F.lit("\\p"))
@@ -37,7 +42,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     their own. Rows of a null conv_id form one conversation. ``loss_spans``
     holds (start, length) of each text of ``loss_role`` in ``formatted``, in
     code points from 0. Other columns are not read. A conversation is one
-    output row, so its turns meet in one task; the sort is inside the row.
+    output row, so its turns meet in one task; the sort is inside the row. An
+    empty table gives no rows.
     """
     rows = turns.select(
         "conv_id",
@@ -48,58 +54,57 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         ).alias("t"),
     )
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # One step per turn: a role that equals the last block's adds a part to it, else opens a block.
-    merged = F.aggregate(
-        F.transform("ts", lambda t: F.struct(escape(t.role).alias("role"), F.array(escape(t.text)).alias("texts"))),
-        F.expr("CAST(array() AS array<struct<role:string,texts:array<string>>>)"),
-        lambda acc, t: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).role == t.role),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        t.role.alias("role"), F.concat(F.try_element_at(acc, F.lit(-1)).texts, t.texts).alias("texts")
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(t))),
-    )
-    blocks = conv.select("conv_id", merged.alias("blocks"))
-    head = lambda b: F.length(b.role) + len(OPEN + MIDDLE)
-    # Parts with their length and the characters of markup before each, then a running sum for their starts.
-    parts = F.flatten(
+
+    def part(t: Column, i: Column) -> Column:
+        """A turn joins the block before it if that has its role, and ends its block if the next one has another."""
+        joins = F.coalesce(F.get("ts", i - 1).role == t.role, F.lit(False))
+        ends = F.coalesce(F.get("ts", i + 1).role != t.role, F.lit(True))
+        return F.struct(
+            F.when(joins, F.lit(PART)).otherwise(F.concat(F.lit(OPEN), escape(t.role), F.lit(MIDDLE))).alias("head"),
+            escape(t.text).alias("body"),
+            F.when(ends, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"),
+            (t.role == loss_role).alias("loss"),
+        )
+
+    parts = conv.select("conv_id", F.transform("ts", part).alias("parts"))
+    sized = parts.select(
+        "conv_id",
+        F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body, p.tail)), "").alias("formatted"),
         F.transform(
-            "blocks",
-            lambda b: F.transform(
-                b.texts,
-                lambda x, i: F.struct(
-                    b.role.alias("role"),
-                    F.length(x).alias("n"),
-                    F.when(i == 0, head(b)).otherwise(F.lit(len(PART))).alias("before"),
-                    F.when(i == F.size(b.texts) - 1, F.lit(len(CLOSE))).otherwise(F.lit(0)).alias("after"),
-                ),
+            "parts",
+            lambda p: F.struct(
+                F.length(p.head).alias("before"), F.length(p.body).alias("n"), F.length(p.tail).alias("after"), p.loss.alias("loss")
             ),
-        )
-    )
-    placed = F.aggregate(
-        F.col("parts"),
-        F.expr("struct(0 AS at, CAST(array() AS array<struct<start:int,length:int>>) AS spans)"),
-        lambda acc, p: F.struct(
-            (acc.at + p.before + p.n + p.after).alias("at"),
-            F.when(
-                p.role == loss_role,
-                F.concat(acc.spans, F.array(F.struct((acc.at + p.before).alias("start"), p.n.alias("length")))),
-            )
-            .otherwise(acc.spans)
-            .alias("spans"),
-        ),
-        lambda acc: acc.spans,
+        ).alias("sizes"),
     )
-    text = F.array_join(
-        F.transform("blocks", lambda b: F.concat(F.lit(OPEN), b.role, F.lit(MIDDLE), F.array_join(b.texts, PART), F.lit(CLOSE))),
-        "",
+    return sized.select("conv_id", "formatted", _placed(F.col("sizes")).alias("loss_spans"))
+
+
+def _placed(sizes: Column) -> Column:
+    """(start, length) of the parts under the loss: running sums within chunks, from where each chunk starts."""
+    whole = lambda at, p: at + p.before + p.n + p.after
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int")), lambda k: F.slice(sizes, k * _CHUNK + 1, _CHUNK))
+    starts = F.aggregate(
+        F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), whole)),
+        F.expr("struct(0 AS at, CAST(array() AS array<int>) AS starts)"),
+        lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.starts, F.array(acc.at)).alias("starts")),
+        lambda acc: acc.starts,
     )
-    return blocks.withColumn("parts", parts).select("conv_id", text.alias("formatted"), placed.alias("loss_spans"))
+
+    def spans(chunk: Column, start: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(start.alias("at"), F.expr("CAST(array() AS array<struct<start:int,length:int>>)").alias("spans")),
+            lambda acc, p: F.struct(
+                whole(acc.at, p).alias("at"),
+                F.when(p.loss, F.concat(acc.spans, F.array(F.struct((acc.at + p.before).alias("start"), p.n.alias("length")))))
+                .otherwise(acc.spans)
+                .alias("spans"),
+            ),
+            lambda acc: acc.spans,
+        )
+
+    return let(chunks, lambda c: F.flatten(F.zip_with(c, starts, spans)))
 
 
 def parse_formatted(formatted: Column) -> Column:
@@ -119,5 +124,19 @@ def parse_formatted(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s.start + 1, s.length))), "")
+    """All text under the loss mask, unescaped, with nothing between.
+
+    Spans are cut from the stretch of text that their chunk covers, as every
+    cut counts code points from the front of what it is cut from.
+    """
+
+    def cut(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.try_element_at(part, F.lit(-1))
+        stretch = F.struct(
+            first.start.alias("from"), F.substring(formatted, first.start + 1, last.start + last.length - first.start).alias("text"), part.alias("spans")
+        )
+        pieces = lambda x: F.array_join(F.transform(x.spans, lambda s: unescape(F.substring(x.text, s.start - x["from"] + 1, s.length))), "")
+        return let(stretch, pieces)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK).cast("int")), lambda k: F.slice(spans, k * _CHUNK + 1, _CHUNK))
+    return F.when(F.size(spans) == 0, F.lit("")).otherwise(F.array_join(F.transform(chunks, cut), ""))

@@ -22,15 +22,25 @@ class IMatchConfig:
     The shares of all terms sum to the mean number of distinct terms in a
     document, m, so at most ``m / low`` terms reach ``low``, however large
     the corpus. ``inline`` is the checked size up to which the lexicon is
-    written into the plan; a larger one is joined instead.
+    written into the plan; a larger one is joined instead, with equal results.
+
+    Each of ``subsets`` (at most 32) holds ``sixteenths`` / 16 of the lexicon,
+    drawn for itself: the k-th holds a term whose seeded md5 has a k-th
+    hexadecimal digit below ``sixteenths``. So subsets overlap, and a term may
+    be in several or in none.
     """
 
     low: float = 0.01
     high: float = 0.25
-    #: Random subsets into which the first hexadecimal digit of a term's md5 deals the lexicon: fixed by that digit.
-    subsets: int = 16
+    subsets: int = 32
+    sixteenths: int = 1
+    seed: int = 1
     inline: int = 20_000
 
+    def __post_init__(self):
+        if not (1 <= self.subsets <= 32 and 1 <= self.sixteenths <= 16):
+            raise ValueError("1 to 32 subsets of 1 to 16 sixteenths")
+
 
 def terms(text: Column) -> Column:
     """Distinct lower-cased runs of letters and digits."""
@@ -45,29 +55,29 @@ def lexicon(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), text_col: str =
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    return df.where((F.col("df") >= max(2.0, cfg.low * n)) & (F.col("df") <= cfg.high * n))
+    return df.where((F.col("df") >= cfg.low * n) & (F.col("df") <= cfg.high * n))
 
 
-def subset_hashes(kept: str) -> Column:
-    """The hash of each subset's terms among the sorted column ``kept`` (16 hexadecimal digits, or none), joined by ``-``.
+def subset_hashes(coded: str, own: str, cfg: IMatchConfig) -> Column:
+    """The hash of each subset's terms among the sorted column ``coded`` (8 hexadecimal digits, or none), joined by ``-``.
 
-    ``kept`` holds terms behind their subset's digit. The md5 of no terms is
-    the fixed value that stands for none.
+    ``coded`` holds terms behind the 32 digits that say which subsets hold
+    them. Where no subset holds any, every part is the column ``own`` instead.
     """
-    none = "'d41d8cd98f00b204e9800998ecf8427e'"
-    parts = ", ".join(
-        f"substring(replace(md5(array_join(filter({kept}, x -> startswith(x, '{digit}')), ' ')), {none}, ''), 1, 16)"
-        for digit in "0123456789abcdef"
-    )
-    return F.expr(f"concat_ws('-', {parts})")
+    none = "'d41d8cd98f00b204e9800998ecf8427e'"  # the md5 of no terms
+    bar = "0123456789abcdefg"[cfg.sixteenths]
+    held = lambda k: f"transform(filter({coded}, x -> substring(x, {k}, 1) < '{bar}'), x -> substring(x, 33))"
+    parts = ", ".join(f"substring(replace(md5(array_join({held(k)}, ' ')), {none}, ''), 1, 8)" for k in range(1, cfg.subsets + 1))
+    alone = ", ".join([own] * cfg.subsets)
+    return F.coalesce(F.nullif(F.expr(f"concat_ws('-', {parts})"), F.lit("-" * (cfg.subsets - 1))), F.expr(f"concat_ws('-', {alone})"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes over the subsets that hold a term of either document; 1 when neither holds any and 0 parts differ."""
+    """Equal parts over those that either fingerprint has: 1 for equal ones, and at least one part is there."""
     pairs = F.arrays_zip(F.split(a, "-").alias("x"), F.split(b, "-").alias("y"))
     used = F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != ""))
     same = F.filter(used, lambda p: p["x"] == p["y"])
-    return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(used))
+    return F.size(same) / F.size(used)
 
 
 class Fingerprinter:
@@ -85,18 +95,37 @@ class Fingerprinter:
         self.words = sorted(r[0] for r in head) if len(head) <= cfg.inline else None
 
     def add(self, df: DataFrame, text_col: str, name: str) -> DataFrame:
-        """``df`` with the fingerprint of ``text_col`` (null counts as empty) as ``name``."""
+        """``df`` with the fingerprint of ``text_col`` (null counts as empty) as ``name``.
+
+        A text of which no subset holds a term has the hash of all its sorted
+        terms in every part, or of the text itself if it has no term, so it is
+        like its equals only. Equal texts, and so repeated rows, have equal
+        fingerprints; the whole text counts, however long; all rows and
+        columns stay (but one that is called ``name``), whatever they are
+        called, and an empty table stays empty.
+        """
+        taken = {c.lower() for c in df.columns}
+
+        def free(base: str) -> str:
+            while base in taken:
+                base = f"_{base}"
+            return base
+
+        key, found, kept, coded, own = (free(x) for x in ("__key", "__terms", "__kept", "__coded", "__own"))
         text = F.coalesce(F.col(text_col), F.lit(""))
+        df = df.withColumn(found, terms(text))
+        every = F.array_join(F.array_sort(found), " ")
+        df = df.withColumn(own, F.substring(F.md5(F.when(F.size(found) > 0, every).otherwise(text)), 1, 8))
         if self.words is None:
-            texts = df.select(F.sha2(text, 256).alias("__key"), text.alias("__text")).dropDuplicates(["__key"])
-            found = texts.select("__key", F.explode(terms(F.col("__text"))).alias("term")).join(self.table, "term")
-            kept = found.groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__kept"))
-            df = df.withColumn("__key", F.sha2(text, 256)).join(kept, "__key", "left").drop("__key")
-            df = df.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<string>")))
+            df = df.withColumn(key, F.sha2(text, 256))
+            lists = df.select(key, found).dropDuplicates([key])
+            held = lists.select(key, F.explode(found).alias("term")).join(self.table, "term")
+            df = df.join(held.groupBy(key).agg(F.array_sort(F.collect_list("term")).alias(kept)), key, "left").drop(key)
+            df = df.withColumn(kept, F.coalesce(kept, F.array().cast("array<string>")))
         elif self.words:  # terms are letters and digits, so they need no escape; Catalyst makes a hash set of the list
             among = ", ".join(f"'{w}'" for w in self.words)
-            df = df.withColumn("__terms", terms(text)).withColumn("__kept", F.expr(f"array_sort(filter(__terms, t -> t IN ({among})))")).drop("__terms")
+            df = df.withColumn(kept, F.expr(f"array_sort(filter({found}, t -> t IN ({among})))"))
         else:
-            df = df.withColumn("__kept", F.array().cast("array<string>"))
-        coded = F.transform("__kept", lambda t: F.concat(F.substring(F.md5(t), 1, 1), t))
-        return df.withColumn("__kept", coded).withColumn(name, subset_hashes("__kept")).drop("__kept")
+            df = df.withColumn(kept, F.array().cast("array<string>"))
+        marked = F.transform(kept, lambda t: F.concat(F.md5(F.concat(F.lit(f"{self.cfg.seed}:"), t)), t))
+        return df.withColumn(coded, marked).withColumn(name, subset_hashes(coded, own, self.cfg)).drop(found, kept, coded, own)

@@ -80,6 +80,8 @@ def encode_lossless(samples: np.ndarray) -> list[bytes]:
 
 def _decode_lossless(scans: list[bytes], width: int, height: int) -> np.ndarray:
     need = width * height // 8 * 9
+    if not need or width % 8:
+        raise ValueError("a lossless frame's width must be a multiple of 8")
     raw = [s.replace(b"\xff\x00", b"\xff") for s in scans]
     if any(len(r) < need for r in raw):
         raise ValueError("the frame ends early")
@@ -99,7 +101,9 @@ class _Bits:
 
     def take(self, n: int) -> int:
         while self.n < n:
-            self.acc = (self.acc << 8) | (self.data[self.at] if self.at < len(self.data) else 0xFF)
+            if self.at >= len(self.data):
+                raise ValueError("the frame ends early")
+            self.acc = (self.acc << 8) | self.data[self.at]
             self.at += 1
             self.n += 8
         self.n -= n
@@ -137,7 +141,11 @@ _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u ==
 def _decode_baseline(parts: list[bytes], comps, quant, dc, ac, width: int, height: int, restart: int) -> np.ndarray:
     """The luminance (first component) of a baseline scan; chrominance is read over."""
     hmax, vmax = max(c["h"] for c in comps), max(c["v"] for c in comps)
+    if not all(1 <= c["h"] <= 4 and 1 <= c["v"] <= 4 for c in comps):
+        raise ValueError("sampling factors must be 1 to 4")
     across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    if across * down * sum(c["h"] * c["v"] for c in comps) * 2 > 8 * sum(map(len, parts)):
+        raise ValueError("the frame ends early")  # a block takes a bit for each of its two tables at least
     y = comps[0]
     plane = np.zeros((down * y["v"] * 8, across * y["h"] * 8))
     reader, part, last = _Bits(parts[0]), 0, [0] * len(comps)
@@ -173,8 +181,16 @@ def decode(frame: bytes) -> np.ndarray:
 
     Lossless frames must be of the form that :func:`encode_lossless` writes;
     baseline frames may have any sampling and restart interval, and use the
-    standard tables where they bring none. Anything else raises ValueError.
+    standard tables where they bring none. Anything else, such as a frame
+    that names tables it doesn't bring, raises ValueError.
     """
+    try:
+        return _decode(frame)
+    except (KeyError, IndexError, TypeError, struct.error) as e:
+        raise ValueError(f"a broken frame: {type(e).__name__} {e}") from e
+
+
+def _decode(frame: bytes) -> np.ndarray:
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     at, comps, quant, kind, restart = 2, [], {}, None, 0
@@ -207,6 +223,8 @@ def decode(frame: bytes) -> np.ndarray:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             scan = frame[at : frame.rindex(b"\xff\xd9")]
+            if kind is None or not comps or not width or not height:
+                raise ValueError("a scan without samples")
             if kind == 0xC3:
                 return _decode_lossless([scan], width, height)[0]
             for c, i in zip(comps, range(body[0]), strict=True):

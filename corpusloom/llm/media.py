@@ -69,8 +69,19 @@ def parse_avi(data: bytes) -> dict:
 
     Offsets of idx1 may count from the file's start or from the movi list; the
     chunk header that they point at tells which. Without an index the movi list
-    is walked. Raises ValueError on a file that isn't a RIFF AVI.
+    is walked. Raises ValueError on a file that isn't a RIFF AVI, or whose
+    headers or index are cut short or point outside it.
     """
+    try:
+        info = _parsed(data)
+    except struct.error as e:
+        raise ValueError(f"a broken AVI file: {e}") from e
+    if any(at < 0 or at + n > len(data) for at, n in info["frames"]):
+        raise ValueError("the index points outside the file")
+    return info
+
+
+def _parsed(data: bytes) -> dict:
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     out = {"width": 0, "height": 0, "micros": 0, "note": b"", "frames": []}
@@ -165,7 +176,8 @@ def clip_rows(files: DataFrame, cfg: MediaConfig = MediaConfig(), id_col: str =
     """One row per shot of each AVI file of ``files`` (id, content), timed in seconds.
 
     A null or broken file gives no clip rows but one with a null clip and the
-    reason in ``error``. Repeated rows give repeated clips.
+    reason in ``error``; a file without frames gives none. Repeated rows give
+    repeated clips. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +186,7 @@ def clip_rows(files: DataFrame, cfg: MediaConfig = MediaConfig(), id_col: str =
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     out += [(k, *c, None) for c in clips(data or b"", cfg)]
-                except (ValueError, struct.error, IndexError) as e:
+                except ValueError as e:
                     out.append((k, *[None] * 6, str(e)))
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
             names = ["id", "clip", "first_frame", "frames", "start_s", "end_s", "mean_luma", "error"]
@@ -206,7 +218,8 @@ def store_texts(docs: DataFrame, cfg: MediaConfig = MediaConfig(), id_col: str =
     """Each text as a lossless AVI file, read back: sizes, digests and its shots.
 
     A null or empty text becomes one row of zeros. Equal texts give equal
-    files. One text at a time is held; other columns are not read.
+    files, and repeated rows equal rows. An Arrow batch of texts is held, and
+    the file of one; other columns are not read. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

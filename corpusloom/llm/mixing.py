@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import Scratch
+from corpusloom.sources.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,12 @@ class MixConfig:
     """The classifier's hashed features and fit, its bounded sample, and the solver.
 
     ``sample_docs`` labelled documents of each domain, chosen by a hash of
-    their id, are fitted, each with ``sample_chars`` characters at most;
-    posteriors come from whole texts.
+    their id, are fitted. Workers turn their whole texts into cells, so the
+    driver gets at most ``features`` numbers for each.
     """
 
     features: int = 1 << 14
     sample_docs: int = 1000
-    sample_chars: int = 16_384
     epochs: int = 60
     rate: float = 0.5
     decay: float = 1e-5
@@ -82,39 +81,51 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
     """A classifier of ``domains`` from ``labelled`` (doc_id, domain) and the texts of ``docs``.
 
     Labels with a null or another domain, and those of documents that ``docs``
-    lacks or has without text, are left out before any is counted or sampled. A domain without a
-    labelled document gets no more than its vanishing prior.
+    lacks or has without text, are left out before any is counted or sampled;
+    repeated labels count once, and a document of several domains counts in
+    each. A domain without a labelled document gets no more than its vanishing
+    prior; without any label all domains are equally likely.
     """
-    rows = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(list(domains))).select("doc_id", "domain")
-    here = docs.where("text IS NOT NULL").select("doc_id")
-    rows = Scratch(docs.sparkSession, "labels").save(rows.join(here, "doc_id", "left_semi"))  # joined once, read for each domain
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(list(domains))).select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
+    rows = Scratch(docs.sparkSession, "labels").save(rows.distinct().join(texts.select("doc_id"), "doc_id", "left_semi"))  # joined once, read for each domain
     count = {r[0]: int(r[1]) for r in rows.groupBy("domain").count().collect()}
     h = F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h")
     named = None
     for d in domains:
         part = rows.where(F.col("domain") == d).select(h, "doc_id", "domain").orderBy("h", "doc_id").limit(cfg.sample_docs)
         named = part if named is None else named.unionByName(part)
-    got = (
-        docs.where("text IS NOT NULL")
-        .select("doc_id", F.substring("text", 1, cfg.sample_chars).alias("text"))
-        .join(F.broadcast(named), "doc_id")  # sample_docs rows for each domain at most
-        .orderBy("h", "doc_id", "text")
-        .limit(cfg.sample_docs * len(domains))
-        .select("domain", "text")
-        .collect()
-    )
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.sort(_cells(t.lower().split(), cfg.features)).astype(np.int32) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32()))], ["h", "domain", "cells"])
+
+    # sample_docs ids for each domain at most; of rows that repeat an id the least text is read.
+    sampled = texts.join(F.broadcast(named), "doc_id").groupBy("h", "doc_id", "domain").agg(F.min("text").alias("text"))
+    got = sampled.select("h", "domain", "text").mapInArrow(cells, "h long, domain string, cells array<int>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["h"], r["domain"]))
     of = {d: i for i, d in enumerate(domains)}
     y = np.array([of[r["domain"]] for r in got], np.int64)
     if not len(y):
         return DomainModel(domains, np.zeros((cfg.features + 1, len(domains))))
     seen = np.bincount(y, minlength=len(domains))
     w = np.array([count[domains[i]] / seen[i] for i in y])
-    x = [_cells(r["text"].encode().lower().split(), cfg.features) for r in got]
-    return DomainModel(domains, _softmax_fit(x, y, w, len(domains), cfg))
+    return DomainModel(domains, _softmax_fit([np.array(r["cells"], np.int64) for r in got], y, w, len(domains), cfg))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, or the like that no column of ``docs`` has in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with n_tokens (words of the whole text) and posterior (by domain); null text has none."""
+def with_posteriors(
+    docs: DataFrame, model: DomainModel, text_col: str = "text", keep_text: bool = True, names: tuple[str, str] = ("n_tokens", "posterior")
+) -> DataFrame:
+    """``docs`` with ``names``: the words of the whole text, and its posterior by domain; null text has none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features * domains numbers
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
@@ -125,20 +136,18 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text",
             words = [(t or b"").lower().split() for t in texts]
             p = pa.array([m.posterior(x) for x in words], pa.list_(pa.float64()))
             columns = [batch.column(batch.schema.names.index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([len(x) for x in words], pa.int64()), p], [*(f.name for f in kept), "n_tokens", "posterior"]
-            )
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in words], pa.int64()), p], [*(f.name for f in kept), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, n_tokens long, posterior array<double>")
+    return docs.mapInArrow(run, f"{schema}{', ' if kept else ''}`{names[0]}` long, `{names[1]}` array<double>")
 
 
-def rate_column(history: list[np.ndarray], floor: Column | None = None) -> Column:
+def rate_column(history: list[np.ndarray], floor: Column | None = None, posterior: str = "posterior") -> Column:
     """A document's rate: from 1, the steps of ``history`` along its posterior, each cut off at ``floor`` (0, at most 1)."""
     floor = F.lit(0.0) if floor is None else floor
     r = F.lit(1.0)
     for step in history:
-        move = sum((F.col("posterior")[i] * F.lit(float(s)) for i, s in enumerate(step)), F.lit(0.0))
+        move = sum((F.col(posterior)[i] * F.lit(float(s)) for i, s in enumerate(step)), F.lit(0.0))
         r = F.greatest(floor, r - move)
     return r
 
@@ -228,19 +237,19 @@ def kept_tokens(members: DataFrame, keep: list[float | None]) -> np.ndarray:
     return out
 
 
-def whole_floor(keep: list[float | None]) -> Column:
+def whole_floor(keep: list[float | None], posterior: str = "posterior") -> Column:
     """1 for a document that most likely belongs to a domain with None in ``keep``, else 0."""
-    p = [F.col("posterior")[i] for i in range(len(keep))]
-    best = F.array_max("posterior")
+    p = [F.col(posterior)[i] for i in range(len(keep))]
+    best = F.array_max(posterior)
     return F.when(F.coalesce(*(F.when(x == best, F.lit(True)) for x, k in zip(p, keep, strict=True) if k is None), F.lit(False)), 1.0).otherwise(0.0)
 
 
-def fitted_rate(members: DataFrame, shares: list[float | None], cfg: MixConfig, relative: bool) -> Column:
-    """The rate of each of ``members`` by ``shares`` of all tokens or, if ``relative``, of each domain's own."""
+def fitted_rate(members: DataFrame, shares: list[float | None], cfg: MixConfig, relative: bool, posterior: str = "posterior") -> Column:
+    """The rate by ``shares`` of all tokens of ``members`` or, if ``relative``, of each domain's own, of a row with the column ``posterior``."""
     if not relative:
-        return rate_column(fit_rates(members, target_tokens(members, np.array(shares)), cfg)[0])
-    floor = whole_floor(shares)
-    return rate_column(fit_rates(members, kept_tokens(members, shares), cfg, floor)[0], floor)
+        return rate_column(fit_rates(members, target_tokens(members, np.array(shares)), cfg)[0], None, posterior)
+    history = fit_rates(members, kept_tokens(members, shares), cfg, whole_floor(shares))[0]
+    return rate_column(history, whole_floor(shares, posterior), posterior)
 
 
 def mix_rates(
@@ -264,12 +273,19 @@ def mix_rates(
 
 
 def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float | None], cfg: MixConfig = MixConfig(), relative: bool = False) -> DataFrame:
-    """``docs`` with each row as often as its rate says, in its own columns; ``relative`` as in ``mix_rates``."""
+    """``docs`` with each row as often as its rate says, in its own columns, whatever they are called; ``relative`` as in ``mix_rates``.
+
+    A null or empty text has no tokens, so it moves no total and is taken by
+    the rate of its posterior. Repeated rows have one rate and, as the hash of
+    their id decides, the same number of copies each; a null id hashes like
+    any other. An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit_domains(docs, labelled, tuple(shares), cfg)
-    narrow = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    members = scratch.save(with_posteriors(narrow, model, keep_text=False))
-    rate = fitted_rate(members, list(shares.values()), cfg, relative)
+    members = scratch.save(with_posteriors(docs.select(F.col("text").cast("string").alias("text")), model, keep_text=False))
+    names = _free("n_tokens", docs), _free("posterior", docs)
+    rate = fitted_rate(members, list(shares.values()), cfg, relative, names[1])
     scratch.drop(members)
-    taken = with_posteriors(docs, model).withColumn("__n", copies_column(rate)).drop("n_tokens", "posterior")
-    return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(docs.columns)
+    times = F.explode(F.array_repeat(F.lit(0), copies_column(rate)))
+    taken = with_posteriors(docs, model, names=names)
+    return taken.select("*", times.alias(_free("copy", docs))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.imatch import IMatchConfig
 from corpusloom.llm.queries import URL_RULES
 from corpusloom.llm.urls import GraphConfig
 
@@ -49,12 +50,10 @@ def _urls() -> str:
                 f"{name}{i + 1} AS MATERIALIZED (SELECT s.host, seed * {1 - cfg.damping} + coalesce(f, 0) * {cfg.damping} AS r FROM {name}s s LEFT JOIN "
                 f"(SELECT dst AS host, sum(r * w) AS f FROM {links} JOIN {name}{i} ON src = host GROUP BY 1) USING (host))"
             )
-    last = "(SELECT count(*) FROM edges) = 0"
     end = cfg.iterations
-    rank = lambda x: f"CASE WHEN {last} THEN {x}s.seed ELSE {x}{end}.r END"
     parts.append(
-        f"v AS (SELECT ts.host, CASE WHEN {rank('d')} > {rank('t')} AND {rank('d')} > {cfg.floor} * (CASE WHEN {last} THEN (SELECT sum(seed) FROM ds) ELSE (SELECT sum(r) FROM d{end}) END) / (SELECT count(*) FROM hosts) THEN 'block' ELSE 'allow' END AS graph "
-        f"FROM ts JOIN ds USING (host) JOIN t{end} USING (host) JOIN d{end} USING (host))"
+        f"v AS (SELECT t{end}.host, CASE WHEN d{end}.r > t{end}.r AND d{end}.r > {cfg.floor} * (SELECT sum(r) FROM d{end}) / (SELECT count(*) FROM hosts) THEN 'block' ELSE 'allow' END AS graph "
+        f"FROM t{end} JOIN d{end} USING (host))"
     )
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(action, graph) AS verdict FROM j JOIN v USING (host)"
 
@@ -68,16 +67,18 @@ def _secrets() -> str:
         ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
         ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
         ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-        ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+        # What stands before a run is part of the match here, as its first group, and taken off again.
+        ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 2, 40),
     ]
     parts = ["d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"]
     for i, (kind, pattern, group, least) in enumerate(kinds):
+        lead = f"regexp_extract_all(text, '{pattern}', 1)" if kind == "jwt" else "[]::VARCHAR[]"
         parts.append(
-            f"m{i} AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS p "
+            f"m{i} AS (SELECT doc_id, {lead} AS lead, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS p "
             f"FROM d WHERE regexp_matches(text, '{pattern.replace('[0-9a-f]+', '[0-9a-f]{24}')}'))"
         )
         parts.append(
-            f"""s{i} AS (SELECT doc_id, {i} AS k, '{kind}' AS kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a, length(m[i]) AS n
+            f"""s{i} AS (SELECT doc_id, {i} AS k, '{kind}' AS kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + coalesce(length(lead[i]), 0) AS a, length(m[i]) - coalesce(length(lead[i]), 0) AS n
  FROM (SELECT *, unnest(list_filter(range(1, len(m) + 1), lambda i: length(v[i]) >= {least})) AS i FROM m{i}))"""
         )
     every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(kinds)))
@@ -104,24 +105,31 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, {code} AS payload_d
 
 
 def _imatch() -> str:
+    cfg = IMatchConfig()
     terms = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+    bar = "0123456789abcdef"[: cfg.sixteenths]
 
     def marked(name: str, source: str, column: str) -> str:
-        digits = " || '-' || ".join(f"coalesce(max(h) FILTER (g = '{d}'), '')" for d in "0123456789abcdef")
+        parts = " || '-' || ".join(f"coalesce(max(h) FILTER (k = {k}), '')" for k in range(1, cfg.subsets + 1))
+        alone = " || '-' || ".join(["own"] * cfg.subsets)
+        every = f"array_to_string(list_sort({terms.format(column)}), ' ')"
         return f"""{name}t AS (SELECT doc_id, unnest({terms.format(column)}) AS term FROM {source}),
-{name}h AS (SELECT doc_id, g, substr(md5(string_agg(g || term, ' ' ORDER BY term)), 1, 16) AS h FROM (SELECT doc_id, term, substr(md5(term), 1, 1) AS g FROM {name}t JOIN lex USING (term)) GROUP BY ALL),
-{name} AS (SELECT doc_id, {digits} AS fp FROM {source} LEFT JOIN {name}h USING (doc_id) GROUP BY doc_id)"""
+{name}s AS (SELECT doc_id, term, unnest(list_filter(range(1, {cfg.subsets + 1}), lambda k: contains('{bar}', substr(md5('{cfg.seed}:' || term), k, 1)))) AS k FROM {name}t JOIN lex USING (term)),
+{name}h AS (SELECT doc_id, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h FROM {name}s GROUP BY ALL),
+{name}g AS (SELECT doc_id, {parts} AS fp FROM {name}h GROUP BY doc_id),
+{name}o AS (SELECT doc_id, substr(md5(CASE WHEN {every} <> '' THEN {every} ELSE {column} END), 1, 8) AS own FROM {source}),
+{name} AS (SELECT doc_id, coalesce(fp, {alone}) AS fp FROM {name}o LEFT JOIN {name}g USING (doc_id))"""
 
     def like(a: str, b: str) -> str:
         x, y = f"string_split({a}, '-')", f"string_split({b}, '-')"
-        used = f"len(list_filter(range(1, 17), lambda i: {x}[i] <> '' OR {y}[i] <> ''))"
-        same = f"len(list_filter(range(1, 17), lambda i: {x}[i] <> '' AND {x}[i] = {y}[i]))"
-        return f"CASE WHEN {used} = 0 THEN 1.0 ELSE {same} / {used} END"
+        used = f"len(list_filter(range(1, {cfg.subsets + 1}), lambda i: {x}[i] <> '' OR {y}[i] <> ''))"
+        same = f"len(list_filter(range(1, {cfg.subsets + 1}), lambda i: {x}[i] <> '' AND {x}[i] = {y}[i]))"
+        return f"{same} / {used}"
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), size AS (SELECT count(*) AS n FROM d),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest({terms.format("text")}) AS term FROM d) GROUP BY 1),
-lex AS (SELECT term FROM df, size WHERE df >= greatest(2, 0.01 * n) AND df <= 0.25 * n),
+lex AS (SELECT term FROM df, size WHERE df >= {cfg.low} * n AND df <= {cfg.high} * n),
 o AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), (SELECT max(doc_id) FROM d)) AS next_id FROM d),
 e AS (SELECT o.doc_id, o.next_id, o.text, left(o.text, length(o.text) - length(o.text) // 2) || left(x.text, length(o.text) // 2) AS edited FROM o JOIN d x ON x.doc_id = o.next_id),
 {marked("fa", "d", "text")},

@@ -1,6 +1,6 @@
 """A quality classifier from compressed sizes.
 
-Two zstandard dictionaries are trained, one on good and one on bad text. A
+Two zstandard dictionaries are built, one from good and one from bad text. A
 text is compressed with either, block by block; the difference of the two
 sizes over their sum is large when the good dictionary explains the text
 better, and a logistic curve turns it into a probability.
@@ -13,23 +13,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class QualityConfig:
     """Bounds of the fitted sample, and the compressor.
 
-    At most ``sample_docs`` labelled documents of each class are read for the
-    dictionaries and as many others for the calibration, chosen by a hash of
-    their id, each with at most ``sample_blocks`` blocks. That bounds what
-    the driver holds, whatever the corpus; scoring reads whole texts.
+    At most ``sample_docs`` labelled documents of each class, chosen by a hash
+    of their id, are read, whole. The driver holds ``sample_bytes`` of a class
+    at most: where its rows have more, as many of their blocks, taken from all
+    over the texts by a hash. Calibration returns a number a row.
     """
 
-    sample_docs: int = 3000
-    sample_blocks: int = 8
+    sample_docs: int = 6000
+    sample_bytes: int = 64 << 20
     block: int = 4096
     dictionary: int = 112_640
     level: int = 3
@@ -38,12 +41,15 @@ class QualityConfig:
 
 @dataclass(frozen=True)
 class QualityModel:
+    """Two dictionaries, as raw content if ``raw``, and the curve; without dictionaries the score is the offset's alone."""
+
     good: bytes
     bad: bytes
     slope: float
     offset: float
     block: int
     level: int
+    raw: bool = False
 
 
 class _Sizer:
@@ -51,7 +57,7 @@ class _Sizer:
         self.block = model.block
         self.by = []
         for d in (model.good, model.bad):
-            data = zstandard.ZstdCompressionDict(d)
+            data = zstandard.ZstdCompressionDict(d, zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_FULLDICT)
             data.precompute_compress(level=model.level)
             self.by.append(
                 zstandard.ZstdCompressor(
@@ -85,55 +91,113 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0] / scale), float(beta[1])
 
 
+def _sample(docs: DataFrame, labels: DataFrame, cfg: QualityConfig, scratch: Scratch) -> tuple[DataFrame, dict[int, int]]:
+    """(quality, part, doc_id, text) of the sampled rows, dealt to the parts 0 and 1 in turn, and the labels of each class."""
+    texts = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    rows = scratch.save(rows.distinct().join(texts.select("doc_id"), "doc_id", "left_semi"))
+    count = {int(r[0]): int(r[1]) for r in rows.groupBy("quality").count().collect()}
+    h = F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h")
+    picks = [rows.where(F.col("quality") == q).select(h, "doc_id", "quality").orderBy("h", "doc_id").limit(cfg.sample_docs) for q in (0, 1)]
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))  # over sample_docs rows a class at most
+    named = picks[0].unionByName(picks[1]).select("doc_id", "quality", ((turn - 1) % 2).alias("part"))
+    out = texts.join(F.broadcast(named), "doc_id").groupBy("quality", "part", "doc_id").agg(F.min("text").alias("text"))
+    return scratch.save(out), count
+
+
+def _blocks(sample: DataFrame, cfg: QualityConfig) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
+    """The blocks (key, bytes) of each class and part, by a hash: all of a class, or a share of ``sample_bytes``."""
+    bars = {}
+    for q, n in sample.groupBy("quality").agg(F.sum(F.octet_length("text"))).collect():
+        bars[q] = int(min(1.0, cfg.sample_bytes / max(1, n)) * (1 << 64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            q, part, ids = (batch.column(i).to_pylist() for i in range(3))
+            for row, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
+                for at in range(0, len(text), cfg.block):
+                    key = xxhash.xxh3_64_intdigest(f"{ids[row]}:{at}", cfg.seed)
+                    if key < bars[q[row]]:
+                        out.append((q[row], part[row], key >> 1, text[at : at + cfg.block]))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["quality", "part", "key", "block"])
+
+    got = sample.select("quality", "part", "doc_id", "text").mapInArrow(cut, "quality int, part int, key long, block binary").toArrow()
+    out: dict[tuple[int, int], list[tuple[int, bytes]]] = {(q, part): [] for q in (0, 1) for part in (0, 1)}
+    for q, part, key, block in zip(*(got[c].to_pylist() for c in got.column_names), strict=True):
+        out[q, part].append((key, block))
+    return out
+
+
+def _raw(blocks: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes of the blocks, an equal share of each; repeated up to 64 bytes, as less counts as none."""
+    share = max(1, size // len(blocks))
+    out = b"".join(b[:share] for b in blocks)[:size]
+    return out * -(-64 // len(out)) if len(out) < 64 else out
+
+
+def _model(good: list[tuple[int, bytes]], bad: list[tuple[int, bytes]], cfg: QualityConfig) -> QualityModel:
+    """Dictionaries of the blocks of each class, raw content where either is too little to train on; no curve yet."""
+    blocks = [[b for _, b in sorted(part)] for part in (good, bad)]
+    try:
+        fit = [[b for b in part if len(b) >= 8] for part in blocks]
+        got = [zstandard.train_dictionary(min(cfg.dictionary, sum(map(len, p)) // 8), p, level=cfg.level).as_bytes() for p in fit]
+        return QualityModel(got[0], got[1], 1.0, 0.0, cfg.block, cfg.level)
+    except (zstandard.ZstdError, ValueError, MemoryError):
+        got = [_raw(part, cfg.dictionary) for part in blocks]
+        return QualityModel(got[0], got[1], 1.0, 0.0, cfg.block, cfg.level, True)
+
+
+def _differences(rows: DataFrame, model: QualityModel, key: str) -> DataFrame:
+    """(key, x): the difference of each row's whole ``text``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer = _Sizer(shared.value)
+        for batch in batches:
+            x = [sizer.difference(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], [key, "x"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, x double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
     """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) names.
 
-    The sample of each class is the ``2 * sample_docs`` labels with the
-    smallest hash of their id; every other one trains the dictionary and the
-    rest the calibration, weighted to the classes' counts over all labels.
-    Rows with a null among these columns are left out. With one class missing,
-    or too little text for a dictionary, the model scores every text by the
-    share of good rows.
+    Labels of documents that ``docs`` lacks, or has without text, are left out
+    before any is counted, and repeated labels count once; a document labelled
+    both ways counts in both classes. Of rows that repeat an id the least text
+    is read. The sample of each class is the ``sample_docs`` labels with the
+    smallest hash of their id, in two parts. The dictionaries are built from
+    both parts; the curve is fitted on what dictionaries of either part say of
+    the other, weighted to the classes' counts. Where a class is too small to
+    train a dictionary on, both are raw text of their class; where it has one
+    row, that row is in both parts. Only if a class has no labelled text at
+    all does the model score every text alike, by the share of good labels.
     """
-    rows = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
-    count = {int(r[0]): int(r[1]) for r in rows.groupBy("quality").count().collect()}
-    longest = cfg.block * cfg.sample_blocks
-    h = F.xxhash64("doc_id", F.lit(cfg.seed)).alias("h")
-    named = [rows.where(F.col("quality") == q).select(h, "doc_id", "quality").orderBy("h", "doc_id").limit(2 * cfg.sample_docs) for q in (0, 1)]
-    got = (
-        docs.where("text IS NOT NULL")
-        .select("doc_id", F.substring("text", 1, longest).alias("text"))
-        .join(F.broadcast(named[0].unionByName(named[1])), "doc_id")  # 4 * sample_docs rows at most
-        .orderBy("h", "doc_id", "text")
-        .limit(4 * cfg.sample_docs)
-        .select("quality", "text")
-        .collect()
-    )
-    picked = {q: [r["text"].encode()[:longest] for r in got if r["quality"] == q] for q in (0, 1)}
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample, count = _sample(docs, labels, cfg, scratch)
     prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
-    flat = QualityModel(b"", b"", 0.0, float(np.log(prior / (1 - prior))), cfg.block, cfg.level)
-    dictionaries = []
-    for q in (1, 0):
-        blocks = [t[i : i + cfg.block] for t in picked[q][::2] for i in range(0, len(t), cfg.block)]
-        blocks = [b for b in blocks if len(b) >= 8]
-        size = min(cfg.dictionary, sum(map(len, blocks)) // 8)
-        try:
-            dictionaries.append(zstandard.train_dictionary(size, blocks, level=cfg.level).as_bytes())
-        except (zstandard.ZstdError, ValueError, MemoryError):
-            return flat
-    model = QualityModel(dictionaries[0], dictionaries[1], 1.0, 0.0, cfg.block, cfg.level)
-    sizer = _Sizer(model)
+    if len(count) < 2:
+        return QualityModel(b"", b"", 0.0, float(np.log(prior / (1 - prior))), cfg.block, cfg.level)
+    blocks = _blocks(sample, cfg)
+    alone = [q for q in (0, 1) if not blocks[q, 1]]
+    halves = [_model(blocks[1, 0 if 1 in alone else part], blocks[0, 0 if 0 in alone else part], cfg) for part in (0, 1)]
     x, y, w = [], [], []
-    for q in (0, 1):
-        part = picked[q][1::2]
-        x += [sizer.difference(t) for t in part]
-        y += [q] * len(part)
-        w += [count[q] / max(1, len(part))] * len(part)
-    if len(set(y)) < 2:
-        return flat
-    weight = np.array(w) * len(w) / sum(w)
-    slope, offset = _logistic(np.array(x), np.array(y, float), weight)
-    return QualityModel(model.good, model.bad, slope, offset, cfg.block, cfg.level)
+    for part in (0, 1):
+        rows = sample.where((F.col("part") == part) | F.col("quality").isin(alone)).select("quality", "text")
+        got = _differences(rows, halves[1 - part], "quality").toArrow()  # 2 * sample_docs rows at most
+        x.append(got["x"].to_numpy())
+        y.append(got["quality"].to_numpy())
+    x, y = np.concatenate(x), np.concatenate(y)
+    w = np.array([count[q] / max(1, (y == q).sum()) for q in (0, 1)])[y]
+    order = np.lexsort((x, y))  # rows come in any order
+    slope, offset = _logistic(x[order], y[order].astype(float), (w * len(w) / w.sum())[order])
+    whole = _model(*(blocks[q, 0] + (blocks[q, 1] if q not in alone else []) for q in (1, 0)), cfg)
+    scratch.drop(sample)
+    return QualityModel(whole.good, whole.bad, slope, offset, cfg.block, cfg.level, whole.raw)
 
 
 def _probabilities(model: QualityModel, sizer: _Sizer | None, texts: list[bytes | None]) -> np.ndarray:
@@ -145,7 +209,8 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     """(doc_id, score) of every row: the probability that its whole text is good.
 
     Null counts as empty, an empty text gets the score of a difference of 0,
-    and repeated rows score alike. Other columns are not read.
+    and repeated rows score alike. Other columns are not read. An empty table
+    gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
@@ -161,7 +226,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_texts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

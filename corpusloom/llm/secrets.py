@@ -50,7 +50,8 @@ MORE_RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    # It starts a run of its characters, so that no run is read twice.
+    SecretRule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 
 _MOST = 64  # strings that a part's exact set may hold before it is turned into trigrams
@@ -73,7 +74,15 @@ def _grams(words: set[str]):
     return _or(*(_and(*(w[i : i + 3] for i in range(len(w) - 2))) for w in sorted(words)))
 
 
-def _set_of(items) -> set[str] | None:
+#: With IGNORECASE and without ASCII, these letters also match some beyond ASCII, which the folded text keeps.
+_LOOSE = frozenset("iks")
+
+
+def _is_loose(flags: int) -> bool:
+    return bool(flags & re.IGNORECASE and not flags & re.ASCII)
+
+
+def _set_of(items, loose: bool) -> set[str] | None:
     """The folded characters of a class, or None when it is negated or has many."""
     out: set[str] = set()
     for op, arg in items:
@@ -83,11 +92,12 @@ def _set_of(items) -> set[str] | None:
             out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    return out if len(out) <= 8 else None
+    return out if len(out) <= 8 and not (loose and out & _LOOSE) else None
 
 
-def _walk(seq) -> tuple[set[str] | None, object]:
+def _walk(seq, flags: int) -> tuple[set[str] | None, object]:
     """(the exact strings that ``seq`` matches, or None; the query of what it must contain)."""
+    loose = _is_loose(flags)
     done, run = [], {""}  # run: exact strings of the part read since the last gap
 
     def gap():
@@ -99,18 +109,18 @@ def _walk(seq) -> tuple[set[str] | None, object]:
     for op, arg in seq:
         exact, query = None, True
         if op is sre.LITERAL and arg < 128:  # only A-Z fold alike in patterns and texts
-            exact = {chr(arg).lower()}
+            exact = None if loose and chr(arg).lower() in _LOOSE else {chr(arg).lower()}
         elif op is sre.IN:
-            exact = _set_of(arg)
+            exact = _set_of(arg, loose)
         elif op is sre.SUBPATTERN:
-            exact, query = _walk(arg[3])
+            exact, query = _walk(arg[3], (flags | arg[1]) & ~arg[2])
         elif op is sre.BRANCH:
-            parts = [_walk(p) for p in arg[1]]
+            parts = [_walk(p, flags) for p in arg[1]]
             query = _or(*(q for _, q in parts))
             exact = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
             low, high, body = arg
-            e, q = _walk(body)
+            e, q = _walk(body, flags)
             if (low, high) == (0, 1) and e is not None:
                 exact = e | {""}
             elif low == high and e is not None and len(e) ** low <= _MOST:
@@ -118,7 +128,7 @@ def _walk(seq) -> tuple[set[str] | None, object]:
                 for _ in range(low):
                     exact = {a + b for a in exact for b in e}
             query = q if low else True
-        elif op is sre.AT:
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):  # they take no characters
             exact = {""}
         joined = {a + b for a in run for b in exact} if exact is not None and len(run) * len(exact) <= _MOST else None
         if joined is not None:
@@ -137,8 +147,13 @@ def _walk(seq) -> tuple[set[str] | None, object]:
 
 
 def trigram_query(pattern: str):
-    """What every match of ``pattern`` contains, folded to lower case, as a Boolean query; True for nothing."""
-    return _walk(_parser.parse(pattern))[1]
+    """What every match of ``pattern`` contains, folded to lower case, as a Boolean query; True for nothing.
+
+    Flags in the pattern count: a letter that ``(?i)`` lets match beyond ASCII
+    is no part of a trigram.
+    """
+    parsed = _parser.parse(pattern)
+    return _walk(parsed, parsed.state.flags)[1]
 
 
 def query_grams(query) -> set[str]:

@@ -15,8 +15,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import difference  # noqa: E402
 
-from corpusloom.llm import bpe, chat, graph, imatch, jpeg, media, minhash, mixing, neighbours, quality, queries, scratch, secrets, urls, warc  # noqa: E402
+from corpusloom.llm import bpe, chat, graph, imatch, jpeg, media, minhash, mixing, neighbours, quality, queries, secrets, urls, warc  # noqa: E402
 from corpusloom.llm.oracles import ORACLES  # noqa: E402
+from corpusloom.sources import scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, set_key string, label long"
@@ -89,6 +90,30 @@ def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Rows of one id are what their texts are: each is linked by its own, and none is lost or left twice."""
+    t, u, v = (" ".join(f"{x}{i}" for i in range(30)) for x in "tuv")
+    rows = [(2, t), (2, t), (5, u), (5, t), (5, v), (9, v + " z"), (7, None), (7, None), (None, t)]
+    out = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (2, 2), (2, 2), (5, 2), (5, 5), (5, 5), (7, 7), (7, 7), (9, 5)]
+    left = minhash.survivors(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, t), (2, t), (5, u), (5, v), (7, ""), (7, "")])
+    assert minhash.survivors(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
+    assert minhash.survivors(docs_of(spark, [])).count() == 0
+
+
+def test_shared_passage_links_nothing(spark):
+    """Documents that share 63 of some 72 words are all alike at 75 to 80 %: none is linked, and few pairs are made."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(63)]
+    rows = [(i, " ".join(passage + [f"x{rng.randrange(10**9)}" for _ in range(8 + i % 3)])) for i in range(300)]
+    docs = docs_of(spark, rows)
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+    s = scratch.Scratch(spark, "test")
+    everyone = s.save(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")))
+    assert minhash._completing_pairs(everyone, docs.select("doc_id", "text"), minhash.NearDupConfig(), s).count() == 0
+
+
 def test_signature_minima_and_maxima():
     h = minhash.MinMaxHasher(8, 1)
     s = minhash.shingle_hashes(b"a b c d e f g h i j", 3)
@@ -121,13 +146,59 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == 1 for r in rows if r.quality == 1]) > 0.98
 
 
+def auc(out):
+    good, bad = ([r.score for r in out if r.quality == q] for q in (1, 0))
+    return np.mean([(np.array(bad) < g).mean() + (np.array(bad) == g).mean() / 2 for g in good])
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.001", 0.7), ("sf0.01", 0.97)])
+def test_quality_of_small_tables(spark, sf, least):
+    """Too little text to train a dictionary on still gives scores that tell documents apart."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    out = queries.op2_quality(spark, f"/root/testdata/{sf}")
+    assert out.select("score").distinct().count() > 100
+    assert auc(out.where("held_out").join(labels, "doc_id").select("score", "quality").collect()) >= least
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """The whole of each text is compressed with either dictionary, block by block."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, queries.training_labels(spark.read.parquet(f"{SF}/labels.parquet")))
+    kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_FULLDICT
+    by = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d, kind), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        b = (r.text or "").encode()
+        good, bad = (sum(len(c.compress(b[i : i + model.block])) for i in range(0, len(b), model.block)) for c in by)
+        x = (bad - good) / (bad + good) if b else 0.0
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))), abs=0.02)
+
+
+def test_quality_sample_reads_whole_texts(spark):
+    """A byte bound thins the blocks all over the texts; what stands at the end of a long one still counts."""
+    rows = [(i, f"plain filler line {i % 7} " * 2000 + ("tail of gold " if i % 2 else "tail of lead ") * 300) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    cfg = quality.QualityConfig(sample_bytes=200_000)
+    picked, _ = quality._sample(docs_of(spark, rows), labels, cfg, scratch.Scratch(spark, "test"))
+    blocks = [b for part in (0, 1) for _, b in quality._blocks(picked, cfg)[1, part]]
+    assert 100_000 < sum(map(len, blocks)) < 300_000 and any(b"gold" in b for b in blocks) and any(b"filler" in b for b in blocks)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 0), (7, None, 0)], "doc_id long, quality int, text int")
     model = quality.fit(docs_of(spark, EDGES), labels)
     out = quality.score(docs_of(spark, EDGES), model).collect()
-    assert len(out) == len(EDGES) and all(0 <= r.score <= 1 for r in out)
+    assert len(out) == len(EDGES) and len({r.score for r in out}) == 1  # one class alone: the prior, and nothing else
+    assert out[0].score == pytest.approx(2 / 3)
     assert quality.keep_good(docs_of(spark, EDGES), model).columns == docs_of(spark, EDGES).columns
     assert quality.score(docs_of(spark, []), model).count() == 0
+    both = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 0, 0), (8, 0, 0), (99, 0, 0)], "doc_id long, quality int, text int")
+    model = quality.fit(docs_of(spark, EDGES), both)
+    out = quality.score(docs_of(spark, EDGES), model).collect()
+    assert len(out) == len(EDGES) and all(0 <= r.score <= 1 for r in out)
+    assert quality.fit(docs_of(spark, []), both).good == b"" and quality.fit(docs_of(spark, EDGES), both.where("false")).good == b""
 
 
 # --- media ---------------------------------------------------------------------------------------------------------
@@ -147,15 +218,20 @@ def test_lossless_frames_and_files():
         media.parse_avi(b"RIFF0000WAVE")
 
 
-def test_baseline_frame():
+def baseline_frame():
     """An 8 x 8 grey block of one DC value, coded by hand with the standard table (category 7, +64)."""
     bits = "11110" + "1000000" + "1010"
     bits += "1" * (-len(bits) % 8)
     scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
     quant = b"\xff\xdb\x00\x43\x00" + bytes([8] * 64)
     head = b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00"
-    frame = b"\xff\xd8" + quant + head + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9"
-    assert (jpeg.decode(frame) == 128 + 64).all()
+    return b"\xff\xd8" + quant + head + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9"
+
+
+def test_baseline_frame():
+    assert (jpeg.decode(baseline_frame()) == 128 + 64).all()
+    with pytest.raises(ValueError):  # a table that isn't there
+        jpeg.decode(baseline_frame().replace(b"\x08\x01\x01\x11\x00", b"\x08\x01\x01\x11\x03"))
 
 
 def test_shots(spark):
@@ -166,6 +242,48 @@ def test_shots(spark):
     assert rows[1].start_s == pytest.approx(0.4) and sorted(r.id for r in rows if r.error) == [2, 3]
 
 
+def test_broken_files_are_reported(spark):
+    """Each of 2,000 damaged files, lossless and baseline, gives clips or one row that says why not."""
+    rng = random.Random(4)
+    frames = [(np.full((16, 64), 30 + 20 * i) + np.arange(64)).astype(np.uint8) for i in range(4)]
+    plain = media.write_avi(jpeg.encode_lossless(np.stack(frames)), 64, 16, 40_000)
+    base = media.write_avi([baseline_frame()] * 3, 8, 8, 40_000)
+    files = []
+    for i in range(2000):
+        data = bytearray(plain if i % 2 else base)
+        for _ in range(rng.choice([1, 1, 2, 8])):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        files.append(bytes(data[: rng.randrange(len(data))] if i % 5 == 0 else data))
+    broken = 0
+    for data in files:
+        try:
+            media.clips(data)
+        except ValueError:
+            broken += 1
+    assert 200 < broken < 2000
+    rows = media.clip_rows(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id long, content binary")).collect()
+    assert sum(r.error is not None for r in rows) == broken
+
+
+def test_stored_texts_equal_their_files(spark):
+    """Every text of the table: its payload, the last bytes' checksum, the file and the shots, from files written apart."""
+    import zlib
+
+    cfg = media.MediaConfig()
+    out = {r.doc_id: r for r in queries.op3_media(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        b = (d.text or "").encode()
+        payload = b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
+        height = min(len(payload) // 64, cfg.rows)
+        grid = np.frombuffer(payload + b"\0" * (-len(payload) % (64 * height)), np.uint8).reshape(-1, height, 64)
+        data = media.write_avi(jpeg.encode_lossless(grid), 64, height, cfg.micros, str(len(payload)).encode())
+        r = out[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(b), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest())
+        shots = [f"{a}+{n}:{grid[a : a + n].mean(axis=(1, 2)).mean():.3f}" for _, a, n, _, _, _ in media.clips(data)]
+        assert r.feature == f"frames={len(grid)};seconds={len(grid) * 0.04:.2f};" + ",".join(shots)
+
+
 def test_media_edges(spark):
     out = {(r.doc_id, r.n_bytes): r for r in media.store_texts(docs_of(spark, EDGES)).collect()}
     for i, t in EDGES:
@@ -243,6 +361,35 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, []), labels, {"a": 0.5, "b": 0.5}).count() == 0
 
 
+def test_mixing_of_clashing_names(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} words {i}", 7, "p", 1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, Posterior string, copy int, __n int")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(30)], "doc_id long, domain string")
+    out = mixing.mix(df, labels, {"a": 1.0, "b": 0.0}, mixing.MixConfig(iterations=6))
+    assert out.columns == df.columns and {r.doc_id % 2 for r in out.collect()} == {1} and all(r.n_tokens == 7 for r in out.collect())
+
+
+def test_mixing_query_meets_targets(spark):
+    """Posteriors equal a dense restatement over whole texts, and expected totals the targets."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit_domains(docs, queries.domain_labels(labels), tuple(queries.MIX_SHARES))
+    out = {r.doc_id: r for r in queries.op5_mixing(spark, SF).collect()}
+    totals, every = np.zeros(3), 0
+    for d in docs.collect():
+        words = (d.text or "").encode().lower().split()
+        cells = sorted({zlib.crc32(w) % mixing.MixConfig().features for w in words})
+        z = model.weights[-1] + (model.weights[cells].sum(0) / np.sqrt(len(cells)) if cells else 0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        r = out[d.doc_id]
+        assert r.n_tokens == len(words) and np.allclose([r.p_clean, r.p_junk, r.p_toxic], p, atol=1e-6)
+        assert r.rate >= 0 and int(r.rate) <= r.copies <= int(r.rate) + 1
+        totals += r.rate * len(words) * p
+        every += len(words)
+    assert np.allclose(totals / every, list(queries.MIX_SHARES.values()), rtol=1e-4)
+
+
 def test_kept_parts_leave_clean_whole(spark):
     """Whatever the composition, rates of likely clean documents stay at 1 or more and the others' fall."""
     rng = np.random.default_rng(6)
@@ -295,6 +442,28 @@ def test_trigram_queries():
     assert secrets.query_grams(secrets.trigram_query("hello|a")) == set()
 
 
+def test_case_flags_lose_nothing():
+    """Letters that match beyond ASCII under (?i) are in no trigram."""
+    for flag in ("(?i)secret", "(?i:sec)ret", "se(?i:cre)t"):
+        scanner = secrets.SecretScanner((secrets.SecretRule("x", flag + "=[a-z]+"),))
+        texts = ["secret=a", "SECret=a", "\u017fecret=a", "seCREt=a", "none"]
+        assert [bool(f) for f in scanner.spans(texts)] == [re.search(flag, t) is not None and "=" in t for t in texts]
+    assert secrets.trigram_query("(?ia)key") == "key" and secrets.trigram_query("(?i)key") is True
+
+
+def test_runs_are_read_once():
+    import time
+
+    scanner, spent = secrets.SecretScanner(secrets.BASE_RULES + secrets.MORE_RULES), []
+    for n in (50_000, 800_000):
+        start = time.perf_counter()
+        assert scanner.spans(["eyJ" * n]) == [[]]
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 64 * max(spent[0], 0.01)
+    (found,) = scanner.spans(["a eyJ" + "x" * 20 + ".eyJ" + "y" * 20 + ".z, xeyJa.b.c"])
+    assert found == [(2, 6, 51)]
+
+
 def test_scan_equals_plain_regex(spark):
     rng = random.Random(8)
     bits = ["token=", "Api_Key: ", "'", '"', "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "secret: token: ", "abcdef", " ", "é", "passwd = ", "x", "-----BEGIN RSA PRIVATE KEY-----", "ſecret=zzzzzzz"]
@@ -333,6 +502,42 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_warc_edges(spark):
+    """Repeated rows, null ids and a long payload."""
+    long = "<p>" + "z" * 6_000_000
+    pages = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x"), (3, "u", long), (4, "u", long)]
+    archives, _ = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(archives).collect())
+    assert got == [(0, "response", None, 1), (1, "response", None, 1), (1, "response", None, 1), (2, "revisit", 1, 1), (3, "response", None, len(long)), (4, "revisit", 3, len(long))]
+
+
+def test_warc_files_and_sidecars(spark, tmp_path):
+    import gzip
+    import json
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 5} ü" * 50) for i in range(40)], "page_id long, url string, html string")
+    archives, _ = warc.archive_pages(pages, warc.WarcConfig(archive_bytes=4000))
+    want = sorted(map(tuple, warc.read_archives(archives).collect()), key=repr)
+    done = warc.write_files(archives, f"file://{tmp_path}/w").collect()
+    assert sum(r.records for r in done) == 40 and sorted(map(tuple, warc.read_files(spark, f"{tmp_path}/w").collect()), key=repr) == want
+    for r in done:
+        data = (tmp_path / "w" / f"{r.archive}.warc.gz").read_bytes()
+        plain = gzip.decompress(data)
+        assert len(data) == r.bytes and plain.count(b"WARC/1.1\r\n") == r.records and b"application/http; msgtype=response" in plain
+        for line in (tmp_path / "w" / f"{r.archive}.warc.idx").read_text().splitlines():
+            e = json.loads(line)
+            assert gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]).startswith(b"WARC/1.1")
+    (tmp_path / "mono.warc.gz").write_bytes(gzip.compress(plain) + b"\0" * 99)
+    again = warc.normalise_files(spark, f"{tmp_path}/mono.warc.gz").first()
+    assert gzip.decompress(bytes(again.content)) == plain and len(again["index"]) == done[-1].records
+    with pytest.raises(ValueError):
+        warc.write_files(archives, "viewfs://x/y")
+    with pytest.raises(ValueError):
+        list(warc.inflate(gzip.compress(plain)[:-9]))
+    with pytest.raises(ValueError):
+        list(warc.inflate(b"no gzip at all"))
+
+
 def test_normalise_monolith():
     import gzip
 
@@ -374,23 +579,61 @@ def test_bpe_equals_tiktoken(spark):
     assert all(small.encode(t).tolist() == other.encode_ordinary(t) for t in texts[:40])
 
 
+def test_bpe_query_equals_tiktoken(spark):
+    """All digests of the query, for every text of the table."""
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    tokens = bpe.load_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    out = {r.doc_id: r for r in queries.op8_bpe(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert len(out) == len(docs)
+    for d in docs:
+        ids = other.encode_ordinary(d.text or "")
+        want = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest()
+        assert (out[d.doc_id].n_tokens, out[d.doc_id].ids_sha256, out[d.doc_id].decoded_sha256) == want
+
+
 # --- fingerprints --------------------------------------------------------------------------------------------------
 
 
-def test_fingerprints(spark):
-    rows = [(i, " ".join(["common"] + [f"t{(i + j) % 40}" for j in range(8)])) for i in range(100)] + [(200, "common t1 T1, t2"), (201, "t2 t1 common"), (202, None)]
-    df = docs_of(spark, rows)
-    cfg = imatch.IMatchConfig(low=0.02, high=0.5)
-    inline = {r.doc_id: r.fp for r in imatch.Fingerprinter(df, cfg).add(df, "text", "fp").collect()}
-    joined_cfg = imatch.IMatchConfig(low=0.02, high=0.5, inline=0)
-    joined = {r.doc_id: r.fp for r in imatch.Fingerprinter(df, joined_cfg).add(df, "text", "fp").collect()}
-    assert inline == joined and inline[200] == inline[201]
-    assert set(inline[202]) == {"-"}  # no terms in any subset
-    want = []
-    for digit in "0123456789abcdef":
-        kept = [t for t in sorted(["t1", "t2"]) if hashlib.md5(t.encode()).hexdigest()[0] == digit]
-        want.append(hashlib.md5(" ".join(digit + t for t in kept).encode()).hexdigest()[:16] if kept else "")
-    assert inline[200] == "-".join(want)
+def own_fingerprint(text, lexicon, cfg):
+    found = sorted({t for t in re.split(r"[\W_]+", (text or "").lower()) if t})
+    bar = "0123456789abcdef"[: cfg.sixteenths]
+    parts = []
+    for k in range(cfg.subsets):
+        kept = [t for t in found if t in lexicon and hashlib.md5(f"{cfg.seed}:{t}".encode()).hexdigest()[k] in bar]
+        parts.append(hashlib.md5(" ".join(kept).encode()).hexdigest()[:8] if kept else "")
+    if not any(parts):
+        parts = [hashlib.md5((" ".join(found) or text or "").encode()).hexdigest()[:8]] * cfg.subsets
+    return "-".join(parts)
+
+
+@pytest.mark.parametrize("subsets,sixteenths", [(32, 1), (5, 6)])
+def test_fingerprints_equal_brute_force(spark, subsets, sixteenths):
+    rows = [(i, " ".join(["common"] + [f"t{(i * j) % 41}" for j in range(8)])) for i in range(100)]
+    rows += [(200, "common t1 T1, t2"), (201, "t2 t1 common"), (202, None), (203, ""), (204, "!!"), (205, "rare"), (206, "other rare"), (206, "other rare"), (207, "t3 " * 30_000)]
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, __kept string, __TERMS string, fp string")
+    cfg = imatch.IMatchConfig(low=0.03, high=0.5, subsets=subsets, sixteenths=sixteenths)
+    seen = [{t for t in re.split(r"[\W_]+", (x or "").lower()) if t} for _, x in rows]
+    df_of = {t: sum(t in s for s in seen) for t in set().union(*seen)}
+    lexicon = {t for t, n in df_of.items() if 0.03 * len(rows) <= n <= 0.5 * len(rows)}
+    want = {i: own_fingerprint(t, lexicon, cfg) for i, t in rows}
+    inline = imatch.Fingerprinter(df, cfg).add(df, "text", "fp")
+    assert inline.columns == df.columns and {r.doc_id: r.fp for r in inline.collect()} == want
+    joined = imatch.Fingerprinter(df, imatch.IMatchConfig(low=0.03, high=0.5, subsets=subsets, sixteenths=sixteenths, inline=0))
+    assert {r.doc_id: r.fp for r in joined.add(df, "text", "fp").collect()} == want
+    like = spark.createDataFrame([(want[a], want[b]) for a, b in ((202, 203), (203, 204), (205, 206), (206, 206))], "a string, b string")
+    assert [r[0] for r in like.select(imatch.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 1.0]
+    none = imatch.Fingerprinter(df.where("false"), cfg).add(df.where("false"), "text", "fp")
+    assert none.count() == 0
+
+
+def test_subsets_are_checked():
+    for bad in ({"subsets": 0}, {"subsets": 33}, {"sixteenths": 17}):
+        with pytest.raises(ValueError):
+            imatch.IMatchConfig(**bad)
 
 
 def test_next_row(spark):
@@ -426,26 +669,90 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_long_conversation(spark):
+    """Thousands of turns in one conversation: the same text and spans as one pass gives, in time that grows with the turns."""
+    import time
+
+    spent = []
+    for n in (2000, 16_000):
+        roles = [("user", "assistant", "assistant")[(i * 7) % 3] for i in range(n)]
+        rows = [(1, i, r, f"<t{i}> |> \\ é") for i, r in enumerate(roles)]
+        start = time.perf_counter()
+        out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        got = out.select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+        spent.append(time.perf_counter() - start)
+        text, spans = "", []
+        for i, (_, _, role, x) in enumerate(rows):
+            x = x.replace("\\", "\\s").replace("<", "\\l").replace("|>", "\\p")
+            text += "<+>" if i and roles[i - 1] == role else ("</turn>\n" if i else "") + f"<|{role}|>"
+            if role == "assistant":
+                spans.append((len(text), len(x)))
+            text += x
+        assert got.formatted == text + "</turn>\n" and [(s.start, s.length) for s in got.loss_spans] == spans
+        assert got.loss == "".join(x for _, _, role, x in rows if role == "assistant")
+    assert spent[1] < 24 * max(spent[0], 0.5)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
 def test_pipeline_stages(spark):
+    """Each stage against a restatement of its rule over what the stage before it kept."""
     import corpus_pipeline
+    import tiktoken
 
+    public = pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs.count()
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "tokens"]
+    s = scratch.Scratch(spark, "test")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 4, F.concat("text", F.lit(" token = abcdef123456"))).otherwise(F.col("text")))
     for name, stage in corpus_pipeline.STAGES[:4]:
-        after = stage(spark, docs, SF).cache()
+        before = {r.doc_id: r for r in docs.collect()}
+        after = s.save(stage(spark, docs, SF))
         assert after.columns == corpus_pipeline.COLUMNS
-        if name == "near_duplicates":
-            rows = [(r.doc_id, r.text) for r in docs.collect()]
-            want = {i for i, (_, c) in brute_components(rows).items() if i == c}
-            assert {r.doc_id for r in after.collect()} == want
+        kept = {r.doc_id: r for r in after.collect()}
         if name == "quality":
-            good = [i for i, x in labels.items() if x.quality == 1]
-            assert len({r.doc_id for r in after.collect()} & set(good)) > 0.95 * len(good)
+            model = quality.fit(docs, queries.training_labels(spark.read.parquet(f"{SF}/labels.parquet")))
+            scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+            assert len(set(scores.values())) > 100  # no constant model
+            assert set(kept) == {i for i, x in scores.items() if x >= 0.3}
+            assert all(i in kept for i, x in labels.items() if x.quality == 1 and scores[i] >= 0.3)
+        if name == "near_duplicates":
+            want = {i for i, (_, c) in brute_components([(i, r.text) for i, r in before.items()]).items() if i == c}
+            assert set(kept) == want and after.count() == len(want)
+        if name == "secrets":
+            scanner = secrets.SecretScanner(secrets.BASE_RULES + secrets.MORE_RULES)
+            found = scanner.spans([r.text for r in before.values()])
+            want = {r.doc_id: secrets.redact_text(r.text, f, "<SECRET>") for r, f in zip(before.values(), found, strict=True)}
+            assert any(found) and {i: r.text for i, r in kept.items()} == want and all(r.n_chars == len(r.text) for r in kept.values())
+        if name == "mixing":
+            shares = {d: k for d, k in corpus_pipeline.KEEP.items()}
+            rates = {r.doc_id: r.copies for r in mixing.mix_rates(docs, queries.domain_labels(spark.read.parquet(f"{SF}/labels.parquet")), shares, relative=True).collect()}
+            assert {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()} == {i: n for i, n in rates.items() if n}
+            assert all(kept[i].text == before[i].text for i in kept)
         docs = after
-    out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
-    assert out.count() == docs.count() > before / 2
+    tokens = bpe.load_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    out = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == docs.count()
+    for r in out:
+        assert r.ids == other.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
+
+
+def test_pipeline_edges(spark):
+    """Null and empty texts, repeats, ties, a very long text, null ids, further columns and an empty table, in every stage."""
+    import corpus_pipeline
+
+    docs = docs_of(spark, EDGES).withColumn("n_tokens", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), SF)
+        assert none.count() == 0
+        out = stage(spark, docs, SF)
+        if name != "tokens":
+            assert out.columns == corpus_pipeline.COLUMNS
+        if name in ("secrets", "tokens"):
+            assert out.count() == len(EDGES)
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((i or 0, t or "") for i, t in EDGES if i not in (5, 8))
