@@ -14,8 +14,8 @@ def constants(values: list, kind: str) -> Column:
     return F.transform(text, lambda v: F.nullif(v, F.lit(""))).cast(f"array<{kind}>")
 
 
-def cut_points(rows: DataFrame, key: str, pieces: int) -> list[int]:
-    """At most ``pieces`` - 1 increasing values of the whole-number ``key`` that cut its rows into like parts."""
+def cut_points(rows: DataFrame, key: str, pieces: int) -> list:
+    """At most ``pieces`` - 1 increasing values of the numeric ``key`` that cut its rows into like parts."""
     if pieces < 2:
         return []
     points = [i / pieces for i in range(1, pieces)]
@@ -23,11 +23,11 @@ def cut_points(rows: DataFrame, key: str, pieces: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
+def range_of(key: Column, cuts: list) -> Column:
     """How many of the sorted ``cuts`` are at most ``key``: as many steps as the count has binary digits."""
     if not cuts:
         return F.lit(0)
-    table = constants(cuts, "bigint")
+    table = constants(cuts, "double" if any(isinstance(c, float) for c in cuts) else "bigint")
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
     below = lambda at, s: (at + s <= len(cuts)) & (F.get(table, at + s - 1) <= key)
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(below(at, s), at + s).otherwise(at))

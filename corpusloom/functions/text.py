@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +61,35 @@ def normalise_sql(text: str) -> str:
     return f"trim(regexp_replace({inner}, '{WS_SQL}+', ' ', 'g'))"
 
 
+_NO_WORD = re.compile(r"[^\w\s]+")
+
+
+def normal_words(text: str | None) -> list[str]:
+    """The words of :func:`normalise`, in a worker: case-folded, with everything but word characters and white space as a break."""
+    return _NO_WORD.sub(" ", (text or "").casefold()).split()
+
+
+def window_hashes(words: list[str], n: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``n`` words, one for each position; none with fewer words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def top_counts(text: str | None, n: int) -> tuple[int, int, int]:
+    """(words, how often the most frequent word occurs, and the most frequent n-gram; 0 with fewer words), in a worker."""
+    words = (text or "").split()
+    if not words:
+        return 0, 0, 0
+    grams = max(Counter(zip(*(words[i:] for i in range(n)), strict=False)).values()) if len(words) >= n else 0
+    return len(words), max(Counter(words).values()), grams
+
+
 def ngrams(parts: Column, n: int) -> Column:
     """The n-grams of an array of words, joined by spaces, one for each position; none with fewer words."""
     def cut(p: Column) -> Column:
@@ -78,21 +112,6 @@ def shingles(text: Column, n: int = 5) -> Column:
     return let(words(text), cut)
 
 
-def most_frequent(parts: Column) -> Column:
-    """How often the most frequent element of an array of strings occurs: runs of the sorted array."""
-    run = F.aggregate(
-        F.sort_array(parts),
-        F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(
-            x.alias("last"),
-            F.when(x == a.last, a.run + 1).otherwise(1).alias("run"),
-            F.greatest(a.best, F.when(x == a.last, a.run + 1).otherwise(1)).alias("best"),
-        ),
-        lambda a: a.best,
-    )
-    return run
-
-
 def symbol_count(text: Column) -> Column:
     """Characters that are no letter, number or white space."""
     return F.length(F.regexp_replace(text, r"[\p{L}\p{N}" + WS[1:], ""))

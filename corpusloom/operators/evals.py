@@ -79,13 +79,24 @@ def few_shot_prompt(shots: Column, target: Column) -> Column:
     return F.array_join(F.concat(shots, F.array(target)), "\n\n")
 
 
+def gold_letter(answer: Column, index: Column, valid: str = LETTERS) -> Column:
+    """The answer's letter, trimmed in upper case, if it is a valid one; else that of the index, from 0."""
+    given = F.upper(F.trim(answer))
+    by_index = F.substring(F.lit(LETTERS), (index + 1).cast("int"), F.lit(1))
+    return F.when((F.length(given) == 1) & F.lit(valid).contains(given), given).otherwise(F.nullif(by_index, F.lit("")))
+
+
+def subgroup_key(metadata: Column, name: str, default: str = "unknown") -> Column:
+    """What the metadata map has under ``name``, or the default."""
+    return F.coalesce(F.try_element_at(metadata, F.lit(name)), F.lit(default))
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """(bench, subgroup, n, n_correct, accuracy) of ``scored`` (bench, subgroup, correct); a null subgroup is the whole."""
-    scored.createOrReplaceTempView("__scored")
-    return scored.sparkSession.sql(
-        """SELECT bench, subgroup, count(*) AS n, count_if(correct) AS n_correct, round(count_if(correct) / greatest(1, count(*)), 9) AS accuracy
-           FROM __scored GROUP BY GROUPING SETS ((bench), (bench, subgroup))"""
-    )
+    right = F.count_if("correct")
+    n = F.count(F.lit(1))
+    rows = scored.groupingSets([["bench"], ["bench", "subgroup"]], "bench", "subgroup")
+    return rows.agg(n.alias("n"), right.alias("n_correct"), F.round(right / F.greatest(F.lit(1), n), 9).alias("accuracy"))
 
 
 def source_loss(tokens: DataFrame) -> DataFrame:
@@ -104,12 +115,33 @@ def source_loss(tokens: DataFrame) -> DataFrame:
     return out.select("source", "n_tokens", "loss", F.exp(F.least("loss", F.lit(50.0))).alias("ppl"))
 
 
-def few_shot_split(rows: DataFrame, group: str, key: str, shots: int, seed: int = 0) -> DataFrame:
-    """``rows`` with ``is_shot``: per group the first ``shots`` by a seeded hash; groups too small for a test row go."""
-    w = Window.partitionBy(group)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    out = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", rank).where(F.col("__n") >= shots + 1)
-    return out.withColumn("is_shot", F.col("__r") <= shots).drop("__n", "__r")
+def few_shot_split(rows: DataFrame, group: str, key: str, shots: int, seed: int = 0, most: int | None = None) -> DataFrame:
+    """``rows`` with ``is_shot``: per group the first ``shots`` by a seeded hash; groups too small for a test row go.
+
+    The first of each of 64 parts of a group hold the first of the group, so
+    no group is sorted in one place. ``most`` keeps that many test rows of a
+    group, the next by the hash.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    marked = rows.withColumn("__h", h).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64)))
+    need = shots + (most or 0)
+    inner = F.row_number().over(Window.partitionBy(group, "__part").orderBy("__h", key))
+    first = marked.select(group, key, "__h", "__part").withColumn("__r", inner).where(F.col("__r") <= need)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__h", key))
+    first = first.withColumn("__rank", rank).where(F.col("__rank") <= need).select(group, key, "__rank")
+    big = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= shots + 1).select(group)
+    out = marked.join(F.broadcast(big), group, "left_semi").join(first, [group, key], "left").drop("__h", "__part")  # a row for each group
+    if most is not None:
+        out = out.where("__rank IS NOT NULL")
+    return out.withColumn("is_shot", F.coalesce(F.col("__rank") <= shots, F.lit(False))).drop("__rank")
+
+
+def shots_from_train(train: DataFrame, test: DataFrame, key: str, shots: int, seed: int = 0) -> DataFrame:
+    """Both tables as rows with ``is_shot``: the first ``shots`` of ``train`` by a seeded hash, or of ``test`` where that is empty, and all of ``test``."""
+    source = train if train.head(1) else test
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    picked = source.orderBy(h, key).limit(shots).withColumn("is_shot", F.lit(True))
+    return picked.unionByName(test.withColumn("is_shot", F.lit(False)))
 
 
 def top_k(logits: Column, k: int) -> Column:
@@ -160,3 +192,42 @@ def coverage_gaps(ranges: DataFrame) -> DataFrame:
 def element_mean(vectors: Column, rows: DataFrame, by: list[str]) -> DataFrame:
     """The element-wise mean of an array column over each group, as (…, pos, mean)."""
     return rows.select(*by, F.posexplode(vectors).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("mean"))
+
+
+def nucleus(rows: DataFrame, logits: str, by: str, top_p: float, temperature: float = 1.0) -> DataFrame:
+    """(by, rank, index, p): the most likely indices whose summed softmax is at most ``top_p``, at least one, scaled to 1.
+
+    Equal logits rank by index. A row's places are summed in one window, so
+    only one row's logits meet.
+    """
+    places = rows.select(by, F.posexplode(logits).alias("index", "z")).withColumn("z", F.col("z").cast("double") / max(temperature, 1e-8))
+    row = Window.partitionBy(by)
+    e = F.exp(F.col("z") - F.max("z").over(row))
+    places = places.withColumn("e", e).withColumn("q", F.col("e") / F.sum("e").over(row))
+    order = row.orderBy(F.col("q").desc(), "index")
+    ranked = places.withColumn("rank", F.row_number().over(order)).withColumn("cum", F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ranked.where((F.col("cum") <= top_p) | (F.col("rank") == 1))
+    return kept.select(by, "rank", "index", (F.col("q") / F.sum("q").over(row)).alias("p"))
+
+
+def draw(kept: DataFrame, by: str, seed: int) -> DataFrame:
+    """(by, index): one index of each row of :func:`nucleus`, by a uniform number hashed from the seed and the row."""
+    u = F.xxhash64(F.col(by), F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
+    cum = F.sum("p").over(Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    marked = kept.withColumn("cum", cum).withColumn("u", u)
+    reach = F.when(F.col("cum") > F.col("u"), F.struct(F.lit(0).alias("late"), F.col("rank").alias("r"), F.col("index").alias("i")))
+    late = F.struct(F.lit(1).alias("late"), (-F.col("rank")).alias("r"), F.col("index").alias("i"))
+    return marked.groupBy(by).agg(F.min(F.coalesce(reach, late)).alias("m")).select(by, F.col("m.i").alias("index"))
+
+
+def position_sample(positions: DataFrame, key: str, batch: int, whole: int, n: int, seed: int = 0) -> DataFrame:
+    """``n`` of the positions of the first ``whole`` batches of ``batch`` positions, by a seeded hash."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return positions.where(F.col(key) < batch * whole).orderBy(h, key).limit(n)
+
+
+def sequence_sample(total: int, n: int, seed: int = 0) -> list[int]:
+    """The ids of ``n`` sequences drawn without repeats."""
+    import random
+
+    return sorted(random.Random(seed).sample(range(total), min(n, total)))

@@ -1,13 +1,18 @@
-"""Mixture schedules: drawn on the driver from counts only, then joined to the data."""
+"""Mixture schedules: drawn on the driver from counts or sizes alone, written in chunks, then joined to the data."""
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import Scratch
+
 
 def check_shares(counts: dict[str, int], shares: dict[str, float]) -> None:
     if not counts:
@@ -18,62 +23,102 @@ def check_shares(counts: dict[str, int], shares: dict[str, float]) -> None:
         raise ValueError("shares must sum to 1")
 
 
+def check_manifests(manifests: list[dict]) -> None:
+    """Corpora may be composed only if their tokenizers (tokenizer_sha256) and sequence lengths are one."""
+    for key in ("tokenizer_sha256", "sequence_length"):
+        if len({m[key] for m in manifests}) > 1:
+            raise ValueError(f"the corpora differ in {key}")
+
+
 def compose_schedule(counts: dict[str, int], shares: dict[str, float], total: int | None = None, seed: int = 0, bootstrap: int = 16) -> Iterator[tuple[int, str, int]]:
     """(position, source, local id): weighted picks first, then the source furthest behind its share.
 
     Equal deficits are drawn among; when none is behind, a weighted pick. It
-    ends at ``total`` or once every source is used up.
+    ends at ``total`` or once every source is used up. What is kept is a few
+    numbers for each source.
     """
     check_shares(counts, shares)
-    rng = random.Random(seed)
-    taken = dict.fromkeys(counts, 0)
-    position = 0
-    while total is None or position < total:
-        left = [s for s in counts if taken[s] < counts[s]]
-        if not left:
-            return
-        behind = {s: shares[s] * position - taken[s] for s in left}
-        most = max(behind.values())
-        if position < bootstrap or most <= 0:
-            weights = [shares[s] for s in left]
-            pick = rng.choices(left, weights)[0] if sum(weights) > 0 else rng.choice(left)
+    rng, names = random.Random(seed), list(counts)
+    size, share = (np.array([d[s] for s in names], float) for d in (counts, shares))
+    taken = np.zeros(len(names))
+    for position in range(int(size.sum() if total is None else min(total, size.sum()))):
+        live = taken < size
+        behind = np.where(live, share * position - taken, -np.inf)
+        if position < bootstrap or behind.max() <= 0:
+            chances = np.where(live, share, 0.0)
+            pick = rng.choices(range(len(names)), chances if chances.sum() > 0 else live)[0]
         else:
-            pick = rng.choice([s for s in left if behind[s] == most])
-        yield position, pick, taken[pick]
+            pick = rng.choice(np.flatnonzero(behind == behind.max()).tolist())
+        yield position, names[pick], int(taken[pick])
         taken[pick] += 1
-        position += 1
 
 
-def mixture_schedule(sizes: dict[str, list[int]], weights: dict[str, float], seed: int = 0, on_exhaust: str = "drop", bootstrap: int = 32, limit: int | None = None) -> Iterator[tuple[int, str, int]]:
+def measure(column: Column, kind: str = "text") -> Column:
+    """The default size of a row: the characters of a text or the elements of an array, 1 at least, and 1 for anything else."""
+    n = F.length(column) if kind == "text" else F.size(column) if kind == "array" else F.lit(1)
+    return F.greatest(F.lit(1), F.coalesce(n, F.lit(1)))
+
+
+class _Stream:
+    """The sizes of one source in order, which can start anew."""
+
+    def __init__(self, sizes: Callable[[], Iterator[int]]):
+        self.sizes, self.emitted = sizes, 0
+        self.restart()
+
+    def restart(self) -> None:
+        self.place, self.rest = 0, iter(self.sizes())
+
+    def take(self) -> tuple[int, int] | None:
+        """(place, size) of the next row, or None at the end."""
+        for size in self.rest:
+            self.place += 1
+            self.emitted += max(1, size)
+            return self.place - 1, size
+        return None
+
+
+def mixture_schedule(
+    sizes: dict[str, Callable[[], Iterator[int]]], weights: dict[str, float], seed: int = 0, on_exhaust: str = "drop", bootstrap: int = 32, limit: int | None = None
+) -> Iterator[tuple[int, str, int]]:
     """(position, source, local id): picks in proportion to what each source lacks of its share of the size taken.
 
-    ``on_exhaust``: stop ends at the first empty source, drop goes on without
-    it, cycle starts it anew (``limit`` then bounds the picks).
+    ``sizes`` gives for each source a function that starts its sizes, in
+    order, anew. ``on_exhaust``: stop ends at the first empty source, drop
+    goes on without it, cycle starts it anew (``limit`` then bounds the picks).
     """
     if on_exhaust not in ("stop", "drop", "cycle"):
         raise ValueError(on_exhaust)
     if set(weights) - set(sizes) or any(w < 0 for w in weights.values()) or sum(weights.values()) <= 0:
         raise ValueError("weights must be nonnegative, not all 0, and of known sources")
-    rng = random.Random(seed)
-    live = {s: w for s, w in weights.items() if w > 0}
-    taken, place, position = dict.fromkeys(live, 0), dict.fromkeys(live, 0), 0
+    rng, position = random.Random(seed), 0
+    live = {s: _Stream(sizes[s]) for s, w in weights.items() if w > 0}
     while live and (limit is None or position < limit):
-        scale, sofar = sum(live.values()), sum(taken[s] for s in live)
-        lacks = [max(0.0, live[s] / scale * sofar - taken[s]) for s in live]
-        use = lacks if position >= bootstrap and sofar and sum(lacks) > 0 else list(live.values())
-        pick = rng.choices(list(live), use)[0]
-        if place[pick] >= len(sizes[pick]):
-            if on_exhaust == "stop" or (on_exhaust == "cycle" and not sizes[pick]):
-                return
-            if on_exhaust == "cycle":
-                place[pick] = 0
-                continue
+        whole, sofar = sum(weights[s] for s in live), sum(x.emitted for x in live.values())
+        lacks = [max(0.0, weights[s] / whole * sofar - x.emitted) for s, x in live.items()]
+        steered = position >= bootstrap and any(lacks)
+        pick = rng.choices(list(live), lacks if steered else [weights[s] for s in live])[0]
+        got = live[pick].take()
+        if got:
+            yield position, pick, got[0]
+            position += 1
+        elif on_exhaust == "drop":
             del live[pick]
-            continue
-        yield position, pick, place[pick]
-        taken[pick] += max(1, sizes[pick][place[pick]])
-        place[pick] += 1
-        position += 1
+        elif on_exhaust == "stop" or live[pick].place == 0:
+            return
+        else:
+            live[pick].restart()
+
+
+def write_schedule(spark: SparkSession, picks: Iterator[tuple[int, str, int]], chunk: int = 200_000) -> DataFrame:
+    """A table (position, source, local_id) of ``picks``, written ``chunk`` rows at a time, which is all that the driver holds."""
+    out = f"{Scratch(spark, 'schedule').path}/picks"
+    schema = "position long, source string, local_id long"
+    spark.createDataFrame([], schema).write.parquet(out)
+    while part := list(islice(picks, chunk)):
+        columns = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)]
+        spark.createDataFrame(pa.table(columns, ["position", "source", "local_id"])).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 def apply_schedule(rows: DataFrame, schedule: DataFrame, source: str = "source", local: str = "seq") -> DataFrame:

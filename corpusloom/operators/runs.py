@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.packing import running_start
+from corpusloom.sources.scratch import Scratch
+
 
 def loss_watchdog(losses: DataFrame, key: str = "step", by: str | None = None, window: int = 200, least: int = 50, soft: float = 3.0, hard: float = 6.0) -> DataFrame:
     """``losses`` (…, step, loss) with verdict ok, soft or hard against the finite losses before it.
@@ -57,11 +60,45 @@ def ledger(charges: DataFrame, ceiling: float, by: str, order: list[str], warn:
 
 
 def nearest_rank(rows: DataFrame, value: str, by: str, points: list[float]) -> DataFrame:
-    """(by, q, value) with the value at place int(n * q) of the sorted values, counted from 0."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    picked = ranked.withColumn("q", F.explode(F.array(*(F.lit(p) for p in points)))).where(F.col("__r") == F.least(F.floor(F.col("__n") * F.col("q")), F.col("__n") - 1))
-    return picked.select(by, "q", value)
+    """(by, q, value) with the value at place int(n * q) of the sorted values, counted from 0.
+
+    Values are placed by ranges, so no group is sorted in one task.
+    """
+    scratch = Scratch(rows.sparkSession, "ranks")
+    table = scratch.save(rows.where(F.col(value).isNotNull()).select(by, value))
+    sizes = scratch.save(table.groupBy(by).agg(F.count(F.lit(1)).alias("__n")))
+    wanted = sizes.withColumn("q", F.explode(F.array(*(F.lit(p) for p in points)))).withColumn("start", F.least(F.floor(F.col("__n") * F.col("q")), F.col("__n") - 1))
+    return running_start(table, by, value, F.lit(1)).join(F.broadcast(wanted), [by, "start"]).select(by, "q", value)  # a row for each group and point
+
+
+def iso_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO 8601 time, in UTC where it names no zone; null if it is none."""
+    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & text.contains(":"), text).otherwise(F.concat(text, F.lit("Z")))
+    full = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).otherwise(zoned)
+    return F.when(text.rlike(shape), F.unix_micros(F.try_to_timestamp(full)) / F.lit(1e6))
+
+
+def incident_rate_high(summary: DataFrame, most: float = 5.0) -> DataFrame:
+    """``summary`` (…, per_1000) with warn: more than ``most`` in 1,000 steps."""
+    return summary.withColumn("warn", F.col("per_1000") > most)
+
+
+def monitor_total(events: DataFrame) -> DataFrame:
+    """(n_sources, tokens, runtime_s, tok_per_s) over all of ``events`` (source, ts, tokens): the rate from the first start to the last sight."""
+    us = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
+    out = events.agg(F.countDistinct("source").alias("n_sources"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"), (us / 1e6).alias("runtime_s"))
+    return out.withColumn("tok_per_s", F.when(F.col("runtime_s") > 0, F.col("tokens") / F.col("runtime_s")).otherwise(0.0))
+
+
+def latest_to_merge(checkpoints: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` complete checkpoints (step, complete, merged) that aren't merged ones themselves."""
+    return checkpoints.where("complete AND NOT merged").orderBy(F.col("step").desc()).limit(n)
+
+
+def micro_batch(command: Column, model: Column, data: Column) -> Column:
+    """The micro-batch that counts: the command's, the model's, the data's, else 8."""
+    return F.coalesce(command, model, data, F.lit(8))
 
 
 def retention(checkpoints: DataFrame, keep_last: int, every: int, key: str = "step", by: str | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import decontam, dedup, filters, packing
+from corpusloom.operators import builds, decontam, dedup, filters, packing, prompts, provenance
+from corpusloom.sources import files
+from corpusloom.sources.scratch import Scratch
+from corpusloom.sources.tables import read_table as table
+from corpusloom.sources.tables import spread
 
 L, PER_SHARD, BATCH = 256, 64, 4
 
@@ -24,8 +27,9 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def documents(spark, sf_dir, *columns):
+    """The documents over all cores, as every query here works on each text."""
+    return spread(table(spark, sf_dir, "documents").select(*(columns or ("*",))))
 
 
 # --- scans ---------------------------------------------------------------------------------------------------------
@@ -34,10 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("""SELECT doc_id, source || '#' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS synthetic_id,
  coalesce(text, '') AS text, source, lang AS language FROM documents""")
 def doc_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    d = packing.running_start(table(spark, sf_dir, "documents"), "source", "doc_id", F.lit(1))
     return d.select(
-        "doc_id", F.concat("source", F.lit("#"), idx).alias("synthetic_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "source", F.col("lang").alias("language")
+        "doc_id", F.concat("source", F.lit("#"), "start").alias("synthetic_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "source", F.col("lang").alias("language")
     )
 
 
@@ -46,6 +49,12 @@ def offset_limit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id").offset(20).limit(100)
 
 
+@query("""SELECT 'set#' || (row_number() OVER (ORDER BY doc_id) - 1) AS doc_id, 'set' AS dataset, concat_ws(chr(10) || chr(10), lang, text) AS text FROM documents
+ QUALIFY row_number() OVER (ORDER BY doc_id) - 1 BETWEEN 20 AND 149""")
+def read_documents(spark, sf_dir):
+    return files.read_documents(table(spark, sf_dir, "documents"), "set", ["lang", "text"], order_by="doc_id", skip_first=20, sample_limit=130)
+
+
 @query("""SELECT source, count(*) AS n, cast(floor(sum(length(text)) / count(*)) AS BIGINT) AS mean_chars, count(*) > 0 AS passed
  FROM documents GROUP BY source""")
 def source_smoke(spark, sf_dir):
@@ -94,7 +103,7 @@ def _offline_sql(columns: str) -> str:
 
 
 def _decided(spark, sf_dir, f):
-    d = table(spark, sf_dir, "documents").select("doc_id", f(F.coalesce("text", F.lit(""))).alias("d"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", f(F.coalesce("text", F.lit(""))).alias("d"))
     return d.select("doc_id", F.col("d.keep").alias("keep"), F.col("d.reason").alias("reason"), F.round("d.score", 9).alias("score"))
 
 
@@ -122,13 +131,13 @@ def filter_symbol_ratio(spark, sf_dir):
  FROM documents""")
 def pii_redact(spark, sf_dir):
     r = filters.PiiRedactor()
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", r.redact(F.col("text")).alias("text"), r(F.col("text")).score.cast("long").alias("n_redactions")
     )
 
 
 def _offline(spark, sf_dir):
-    return filters.filter_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return filters.filter_documents(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
 @query(_offline_sql("doc_id, source, reason, text"))
@@ -143,7 +152,7 @@ def reject_histogram(spark, sf_dir):
 
 @query(f"SELECT doc_id, {T.normalise_sql('text')} AS normalised FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("normalised"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalise(F.col("text")).alias("normalised"))
 
 
 @query("""SELECT conv_id, turn, substr(text, 1, 8000) AS prompt FROM conversations WHERE role = 'user' AND trim(text) <> ''""")
@@ -171,7 +180,7 @@ def _prompts(spark, sf_dir):
 
 
 def _matches(spark, sf_dir, n):
-    return decontam.scan(table(spark, sf_dir, "documents"), decontam.build_index(_prompts(spark, sf_dir), n), n)
+    return decontam.scan(documents(spark, sf_dir, "doc_id", "text"), decontam.build_index(_prompts(spark, sf_dir), n), n)
 
 
 @query(f"WITH {_PROMPTS}, {_index_sql(13)} SELECT benchmark_id, (SELECT count(*) FROM p WHERE p.benchmark_id = b.benchmark_id) AS n_examples, (SELECT count(*) FROM i WHERE i.benchmark_id = b.benchmark_id) AS n_ngrams FROM (SELECT DISTINCT benchmark_id FROM p) b")
@@ -207,7 +216,7 @@ _DUAL = f"WITH {_PROMPTS}, {_index_sql(13)}, {_scan_sql(13)}, {_index_sql(8, 'j'
 
 @query(f"{_DUAL} SELECT doc_id, benchmark_id, cast(sum(n_matches) AS BIGINT) AS n_matches FROM (SELECT * FROM m UNION ALL SELECT * FROM k) GROUP BY ALL")
 def decontam_dual(spark, sf_dir):
-    both = decontam.scan_modes(table(spark, sf_dir, "documents"), _prompts(spark, sf_dir), {"primary": 13, "secondary": 8})
+    both = decontam.scan_modes(documents(spark, sf_dir, "doc_id", "text"), _prompts(spark, sf_dir), {"primary": 13, "secondary": 8})
     return both.groupBy("doc_id", "benchmark_id").agg(F.sum("n_matches").alias("n_matches"))
 
 
@@ -216,11 +225,13 @@ def decontam_secondary(spark, sf_dir):
     return _matches(spark, sf_dir, 8).groupBy("benchmark_id").agg(F.countDistinct("doc_id").alias("matched_docs"))
 
 
-@query(f"""WITH {_PROMPTS}, {_index_sql(13)}, {_scan_sql(13)} SELECT benchmark_id, n_examples, matched_docs, scanned_docs, round(matched_docs / scanned_docs, 6) AS rate FROM (
- SELECT b.benchmark_id, b.n_examples, (SELECT count(DISTINCT doc_id) FROM m WHERE m.benchmark_id = b.benchmark_id) AS matched_docs, (SELECT count(*) FROM documents) AS scanned_docs
+@query(f"""WITH {_PROMPTS}, {_index_sql(13)}, {_scan_sql(13)} SELECT benchmark_id, n_examples, matched_docs, scanned_docs, any_docs, round(matched_docs / scanned_docs, 6) AS rate, example_ids FROM (
+ SELECT b.benchmark_id, b.n_examples, (SELECT count(DISTINCT doc_id) FROM m WHERE m.benchmark_id = b.benchmark_id) AS matched_docs, (SELECT count(*) FROM documents) AS scanned_docs, (SELECT count(DISTINCT doc_id) FROM m) AS any_docs,
+ (SELECT array_to_string(list_sort(list(DISTINCT doc_id))[1:20], ' ') FROM m WHERE m.benchmark_id = b.benchmark_id) AS example_ids
  FROM (SELECT benchmark_id, count(*) AS n_examples FROM p GROUP BY 1) b)""")
 def decontam_report(spark, sf_dir):
-    return decontam.report(table(spark, sf_dir, "documents"), _prompts(spark, sf_dir), _matches(spark, sf_dir, 13))
+    r = decontam.report(table(spark, sf_dir, "documents"), _prompts(spark, sf_dir), _matches(spark, sf_dir, 13))
+    return r.withColumn("example_ids", F.array_join(F.transform("example_ids", lambda i: i.cast("string")), " "))
 
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
@@ -231,7 +242,7 @@ _SHINGLES = f"""sh AS (SELECT doc_id, source, unnest(list_distinct(CASE WHEN len
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, (SELECT count(*) FROM sh WHERE sh.doc_id = d.doc_id) AS n_shingles FROM documents d")
 def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
 @query("SELECT sha256(text) AS text_sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
@@ -242,18 +253,25 @@ def exact_dup_groups(spark, sf_dir):
 
 @query()
 def minhash_signature(spark, sf_dir):
-    s = dedup.signatures(table(spark, sf_dir, "documents"))
+    s = dedup.signatures(documents(spark, sf_dir, "doc_id", "text"))
     return s.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 @query()
 def lsh_candidates(spark, sf_dir):
-    return dedup.candidates(dedup.signatures(table(spark, sf_dir, "documents"), extra=["source"]), group="source").select("a", "b", "estimate")
+    signed = Scratch(spark, "candidates").save(dedup.signatures(documents(spark, sf_dir, "doc_id", "source", "text"), extra=["source"]))
+    return dedup.candidates(signed, group="source").select("a", "b", "estimate")
 
 
 @query()
 def minhash_dedup(spark, sf_dir):
-    return dedup.greedy_keep(table(spark, sf_dir, "documents"), group="source")
+    return dedup.greedy_keep(documents(spark, sf_dir, "doc_id", "source", "text"), group="source")
+
+
+@query(f"""WITH {_SHINGLES}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
+ SELECT a, b, round(c / (x.n + y.n - c), 9) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 4 * c >= 3 * (x.n + y.n - c)""")
+def jaccard_pairs_exact(spark, sf_dir):
+    return dedup.exact_pairs(documents(spark, sf_dir, "doc_id", "source", "text"), 75, group="source").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 # --- packing -------------------------------------------------------------------------------------------------------
@@ -273,7 +291,7 @@ ids AS (SELECT spans.*, cast(off + seq AS BIGINT) AS sequence_id FROM spans JOIN
 
 
 def _sized(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.size(T.words(F.col("text"))).alias("n_tokens"))
+    return documents(spark, sf_dir, "source", "doc_id", "text").select("source", "doc_id", F.size(T.words(F.col("text"))).alias("n_tokens"))
 
 
 def _spans(spark, sf_dir, drop_last=True):
@@ -281,12 +299,13 @@ def _spans(spark, sf_dir, drop_last=True):
 
 
 def _ids(spark, sf_dir):
-    return packing.number_sequences(_spans(spark, sf_dir))
+    scratch = Scratch(spark, "ids")
+    return scratch.save(packing.number_sequences(scratch.save(_spans(spark, sf_dir))))
 
 
 @query(f"SELECT doc_id, array_to_string(list_transform({T.words_sql('text')}, lambda w: {T.word_id_sql('w')}), ' ') AS tokens FROM documents")
 def word_tokens(spark, sf_dir):
-    d = packing.word_tokens(table(spark, sf_dir, "documents"))
+    d = packing.word_tokens(documents(spark, sf_dir, "doc_id", "text"))
     return d.select("doc_id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
 
 
@@ -303,8 +322,11 @@ def pack_spans_padded(spark, sf_dir):
 @query(f"""WITH {_PLACED}, tk AS (SELECT source, st + unnest(range(0, n + 1)) AS pos, unnest(list_append(list_transform(ws, lambda w: {T.word_id_sql('w')}), {packing.EOS})) AS tok FROM q)
  SELECT source, cast(pos // {L} AS BIGINT) AS seq, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM tk JOIN tot USING (source) WHERE pos < total // {L} * {L} GROUP BY ALL""")
 def pack_sequences(spark, sf_dir):
-    out = packing.pack_sequences(packing.word_tokens(table(spark, sf_dir, "documents")).select("source", "doc_id", "tokens"), L)
-    return out.select("source", "seq", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+    return _sequences(spark, sf_dir).select("source", "seq", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+
+
+def _sequences(spark, sf_dir):
+    return packing.pack_sequences(packing.word_tokens(documents(spark, sf_dir, "source", "doc_id", "text")).select("source", "doc_id", "tokens"), L)
 
 
 _SEGMENTS = f"""seg AS (SELECT sequence_id, string_agg(rn, ' ' ORDER BY pos) AS segments FROM (SELECT sequence_id, rn, unnest(range(token_start, token_end)) AS pos
@@ -317,11 +339,81 @@ def segment_ids(spark, sf_dir):
     return s.select("sequence_id", F.array_join(F.transform("segments", lambda x: x.cast("string")), " ").alias("segments"))
 
 
-@query(f"""WITH {_spans_sql(True)} SELECT sequence_id, cast(sum(token_end - token_start - 1) AS BIGINT) AS loss_positions FROM ids GROUP BY 1""")
+_PLACES = f"""{_PLACED}, tk AS (SELECT source, doc_id, st + unnest(range(0, n + 1)) AS pos, unnest(list_append(list_transform(ws, lambda w: {T.word_id_sql('w')}), {packing.EOS})) AS tok FROM q),
+pl AS (SELECT source, cast(pos // {L} AS BIGINT) AS seq, pos, pos % {L} AS place, tok, CASE WHEN lag(doc_id) OVER (PARTITION BY source ORDER BY pos) = doc_id THEN 1 ELSE 0 END AS mask FROM tk JOIN tot USING (source) WHERE pos < total // {L} * {L})"""
+
+
+@query(f"""WITH {_PLACES} SELECT source, seq, md5(string_agg(tok, ' ' ORDER BY pos) FILTER (place < {L - 1})) AS inputs, md5(string_agg(tok, ' ' ORDER BY pos) FILTER (place > 0)) AS labels,
+ md5(string_agg(mask, ' ' ORDER BY pos) FILTER (place > 0)) AS loss_mask, cast(sum(mask) FILTER (place > 0) AS BIGINT) AS loss_positions FROM pl GROUP BY ALL""")
 def input_label_pairs(spark, sf_dir):
-    s = packing.segment_ids(_ids(spark, sf_dir), L).withColumn("tokens", F.col("segments"))
-    pairs = packing.input_label_pairs(s)
-    return pairs.select("sequence_id", F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("loss_positions"))
+    segments = packing.segment_ids(_spans(spark, sf_dir), L, ["source", "seq"])
+    pairs = packing.input_label_pairs(_sequences(spark, sf_dir).join(segments, ["source", "seq"]))
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ")).alias(c)
+    total = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return pairs.select("source", "seq", text("inputs"), text("labels"), text("loss_mask"), total.alias("loss_positions"))
+
+
+@query(f"WITH {_spans_sql(True)} SELECT row_number() OVER (ORDER BY sequence_id, token_start) - 1 AS doc_span_id, sequence_id, doc_id, token_start, token_end FROM ids")
+def doc_span_ids(spark, sf_dir):
+    return packing.number_spans(_ids(spark, sf_dir)).select("doc_span_id", "sequence_id", "doc_id", "token_start", "token_end")
+
+
+@query(f"""WITH {_spans_sql(True)}, d AS (SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS document FROM q),
+ x AS (SELECT sequence_id, document, unnest(range(token_start, token_end)) AS pos FROM ids JOIN d USING (source, doc_id)) SELECT sequence_id, string_agg(document, ' ' ORDER BY pos) AS documents FROM x GROUP BY 1""")
+def segment_ids_global(spark, sf_dir):
+    ids = _ids(spark, sf_dir).join(packing.document_numbers(_sized(spark, sf_dir)), ["source", "doc_id"])
+    out = packing.per_place(ids, L, F.col("document"), "documents")
+    return out.select("sequence_id", F.array_join(F.transform("documents", lambda x: x.cast("string")), " ").alias("documents"))
+
+
+_VOCAB = "v AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k FROM (SELECT DISTINCT source FROM ids WHERE source NOT LIKE '%7'))"
+
+
+def _token_sources(spark, sf_dir):
+    ids = _ids(spark, sf_dir)
+    return provenance.token_sources(ids, provenance.source_vocab(ids.where("source NOT LIKE '%7'")), L)
+
+
+@query(f"WITH {_spans_sql(True)}, {_VOCAB}, x AS (SELECT sequence_id, coalesce(k, -1) AS k, unnest(range(token_start, token_end)) AS pos FROM ids LEFT JOIN v USING (source)) SELECT sequence_id, string_agg(k, ' ' ORDER BY pos) AS sources FROM x GROUP BY 1")
+def token_source_ids(spark, sf_dir):
+    return _token_sources(spark, sf_dir).select("sequence_id", F.array_join(F.transform("sources", lambda x: x.cast("string")), " ").alias("sources"))
+
+
+@query(f"""WITH {_spans_sql(True)}, {_VOCAB}, x AS (SELECT sequence_id, coalesce(k, -1) AS k, unnest(range(token_start, token_end)) AS pos FROM ids LEFT JOIN v USING (source) WHERE sequence_id < 50 // {BATCH} * {BATCH})
+ SELECT sequence_id // {BATCH} AS batch, sequence_id % {BATCH} AS row, sequence_id, string_agg(k, ' ' ORDER BY pos) FILTER (pos > 0) AS label_sources FROM x GROUP BY sequence_id""")
+def label_sources(spark, sf_dir):
+    held = provenance.label_sources(_token_sources(spark, sf_dir), 50, BATCH)
+    return held.select("batch", "row", "sequence_id", F.array_join(F.transform("label_sources", lambda x: x.cast("string")), " ").alias("label_sources"))
+
+
+@query(f"WITH {_spans_sql(True)} SELECT sequence_id, doc_id, token_start, token_end FROM ids WHERE sequence_id IN (SELECT event_id * 3 FROM events)")
+def get_provenance(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("sequence_id"))
+    return provenance.provenance(_ids(spark, sf_dir), asked).select("sequence_id", "doc_id", "token_start", "token_end")
+
+
+@query(f"WITH {_spans_sql(True)}, {_SEGMENTS}, p AS (SELECT sequence_id, string_split(segments, ' ') AS s FROM seg) SELECT sequence_id, segment, count(*) AS n FROM (SELECT sequence_id, cast(unnest(s) AS BIGINT) AS segment FROM p) GROUP BY ALL")
+def segment_histogram(spark, sf_dir):
+    return provenance.segment_histogram(packing.segment_ids(_ids(spark, sf_dir), L))
+
+
+@query(f"""SELECT doc_id, array_to_string(ids[1:8], ' ') AS head, CASE WHEN len(ids) > 8 THEN array_to_string(ids[-8:], ' ') ELSE '' END AS tail
+ FROM (SELECT doc_id, list_transform({T.words_sql('text')}, lambda w: {T.word_id_sql('w')}) AS ids FROM documents)""")
+def token_preview(spark, sf_dir):
+    d = packing.word_tokens(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", provenance.token_preview(F.col("tokens"), 8).alias("p"))
+    text = lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), " ")
+    return d.select("doc_id", text("p.head").alias("head"), text("p.tail").alias("tail"))
+
+
+@query(f"WITH {_spans_sql(True)}, u AS (SELECT DISTINCT sequence_id AS s FROM ids) SELECT s AS sequence_id, s // {PER_SHARD} AS shard_id, s % {PER_SHARD} AS local_id, s % {PER_SHARD} * {L} AS token_offset, s % {PER_SHARD} * {L * 4} AS byte_offset FROM u")
+def seek_math(spark, sf_dir):
+    return packing.seek(_ids(spark, sf_dir).select("sequence_id").distinct(), L, PER_SHARD)
+
+
+@query(f"WITH {_SHARES}, k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM s WHERE {_CHAIN} = 'ok') SELECT doc_id, source FROM k WHERE r <= 7")
+def sample_limit(spark, sf_dir):
+    kept = Scratch(spark, "kept").save(_offline(spark, sf_dir).where("reason = 'ok'").select("source", "doc_id"))
+    return packing.first_kept(kept, 7).select("doc_id", "source")
 
 
 @query(f"WITH {_spans_sql(True)} SELECT sequence_id, source, cast(sum(token_end - token_start) AS BIGINT) AS n_tokens FROM ids GROUP BY ALL")
@@ -342,9 +434,8 @@ def epoch_cycle(spark, sf_dir):
 
 @query(f"WITH {_spans_sql(True)} SELECT DISTINCT sequence_id, sequence_id // {PER_SHARD} AS shard_id, sequence_id % {PER_SHARD} AS local_id, sequence_id % {PER_SHARD} * {L * 4} AS byte_offset FROM ids WHERE sequence_id >= 1000 // {L - 1}")
 def resume_from_cursor(spark, sf_dir):
-    u = _ids(spark, sf_dir).select("sequence_id").distinct().where(F.col("sequence_id") >= 1000 // (L - 1))
-    local = F.col("sequence_id") % PER_SHARD
-    return u.select("sequence_id", F.floor(F.col("sequence_id") / PER_SHARD).alias("shard_id"), local.alias("local_id"), (local * (L * 4)).alias("byte_offset"))
+    u = _ids(spark, sf_dir).select("sequence_id").distinct().where(F.col("sequence_id") >= packing.cursor_of(F.lit(1000), L))
+    return packing.seek(u, L, PER_SHARD).drop("token_offset")
 
 
 @query(f"WITH {_spans_sql(True)} SELECT DISTINCT sequence_id FROM ids WHERE sequence_id < ceil(10000 / {L})")
@@ -370,24 +461,116 @@ def corpus_manifest(spark, sf_dir):
     return mix.crossJoin(F.broadcast(total)).select("source", "n_tokens", F.round(F.col("n_tokens") / F.col("total"), 9).alias("share"))
 
 
-_STATS = f"""WITH {_SHARES}, r0 AS (SELECT doc_id, source, {_CHAIN} AS reason, CASE WHEN {_CHAIN} = 'ok' THEN {_redact_sql('text')} ELSE text END AS text FROM s),
-{_PROMPTS}, {_index_sql(13)}, hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({T.ngrams_sql('ws', 13)}) AS gram FROM (SELECT doc_id, {T.words_sql(T.normalise_sql('text'))} AS ws FROM r0 WHERE reason = 'ok')) JOIN i USING (gram))
-SELECT source, count(*) AS docs_seen, count(*) FILTER (reason <> 'ok') AS docs_filtered, count(*) FILTER (hit.doc_id IS NOT NULL) AS docs_contaminated,
- count(*) FILTER (reason = 'ok' AND hit.doc_id IS NULL) AS docs_kept, cast(coalesce(sum(len({T.words_sql('text')}) + 1) FILTER (reason = 'ok' AND hit.doc_id IS NULL), 0) AS BIGINT) AS n_tokens
-FROM r0 LEFT JOIN hit USING (doc_id) GROUP BY source"""
+_MIX = f"{_spans_sql(True)}, mx AS (SELECT sequence_id, source, cast(sum(token_end - token_start) AS BIGINT) AS n FROM ids GROUP BY ALL), dom AS (SELECT sequence_id, arg_min(source, (-n, source)) AS dominant, count(*) AS k FROM mx GROUP BY 1)"
+
 
+def _incident_labels(spark, sf_dir, legacy=False):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 5, F.col("event_id") * 37).alias("data_position"))
+    placed = provenance.incident_sequences(e, L, legacy)
+    return provenance.attribute(placed, provenance.mix_labels(packing.source_mix(_ids(spark, sf_dir))))
 
-@query(_STATS)
+
+@query(f"WITH {_MIX} SELECT event_id, event_id * 37 AS data_position, event_id * 37 // {L - 1} AS sequence_id, coalesce(dominant, '<unmapped>') AS dominant FROM events LEFT JOIN dom ON sequence_id = event_id * 37 // {L - 1} WHERE event_id % 11 <> 5")
+def incident_sources(spark, sf_dir):
+    return _incident_labels(spark, sf_dir).select("event_id", "data_position", "sequence_id", "dominant")
+
+
+@query(f"WITH {_MIX} SELECT coalesce(dominant, '<unmapped>') AS dominant, count(*) AS n FROM events LEFT JOIN dom ON sequence_id = event_id * 37 // {L} WHERE event_id % 11 <> 5 GROUP BY 1")
+def incident_sources_legacy(spark, sf_dir):
+    return _incident_labels(spark, sf_dir, legacy=True).groupBy("dominant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_spans_sql(True)}, s AS (SELECT DISTINCT sequence_id // {PER_SHARD} AS shard_id, sequence_id FROM ids), c AS (SELECT shard_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT * FROM c WHERE shard_id % 5 <> 2),
+ j AS (SELECT c.shard_id, m.n, CASE WHEN c.shard_id % 4 = 1 THEN 'b' ELSE 'a' END AS sha FROM c LEFT JOIN m USING (shard_id))
+ SELECT count(*) AS n_shards, count(*) FILTER (n IS NULL) AS n_missing, count(*) FILTER (n < {PER_SHARD} AND shard_id < (SELECT max(shard_id) FROM c)) AS n_short, count(*) FILTER (n IS NOT NULL AND sha <> 'a') AS n_other_tokenizer,
+ count(*) FILTER (n IS NULL) = 0 AND count(*) FILTER (n < {PER_SHARD} AND shard_id < (SELECT max(shard_id) FROM c)) = 0 AND count(*) FILTER (n IS NOT NULL AND sha <> 'a') = 0 AS passed FROM j""")
+def manifest_completeness(spark, sf_dir):
+    m = shard_manifest(spark, sf_dir).withColumn("tokenizer_sha256", F.when(F.col("shard_id") % 4 == 1, "b").otherwise("a"))
+    return files.completeness(m.select("shard_id"), m.where("shard_id % 5 <> 2"), PER_SHARD, "a")
+
+
+@query(f"WITH {_spans_sql(True)}, c AS (SELECT count(DISTINCT sequence_id) AS n, max(sequence_id) AS hi FROM ids) SELECT hi // {PER_SHARD} + 1 AS n_shards, n AS n_sequences, n * {L} AS n_tokens, 0 AS first_id, hi AS last_id FROM c")
+def corpus_summary(spark, sf_dir):
+    m = shard_manifest(spark, sf_dir).withColumn("sequence_length", F.lit(L)).withColumn("tokenizer_sha256", F.lit("a"))
+    return files.corpus_summary(m)
+
+
+# --- prompts -------------------------------------------------------------------------------------------------------
+
+_KIND = "['mmlu-pro', 'humaneval-plus', 'mbpp-plus', 'gsm8k', 'math', 'mgsm', 'bbh', 'ifeval'][item_id % 8 + 1]"
+
+
+@query(f"""WITH b AS (SELECT item_id, text, {_KIND} AS bench, item_id // 8 % 3 AS config FROM benchmark),
+ p AS (SELECT bench, item_id, config, CASE bench WHEN 'mmlu-pro' THEN trim(text) || ' one two' ELSE text END AS prompt FROM b WHERE trim(text) <> '' AND NOT (bench = 'bbh' AND item_id % 5 = 0) AND NOT (bench IN ('ifeval') AND item_id % 3 = 0)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY bench, CASE WHEN bench IN ('mgsm', 'bbh') THEN config END ORDER BY item_id) AS r FROM p)
+ SELECT bench AS benchmark_id, item_id AS id, substr(prompt, 1, 8000) AS prompt FROM r WHERE r <= 4""")
+def prompt_loaders(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").withColumn("id", F.col("item_id")).withColumn("config", F.floor(F.col("item_id") / 8) % 3)
+    given = {
+        "mmlu-pro": {"question": F.col("text"), "options": F.array(F.lit("one"), F.lit("two"))},
+        "humaneval-plus": {"prompt": F.col("text")},
+        "mbpp-plus": {"prompt": F.when(F.col("item_id") % 2 == 0, F.col("text")), "text": F.col("text")},
+        "gsm8k": {"question": F.col("text")},
+        "math": {"problem": F.col("text")},
+        "mgsm": {"question": F.col("text")},
+        "bbh": {"input": F.when(F.col("item_id") % 5 == 0, F.lit(" ")).otherwise(F.col("text"))},
+        "ifeval": {"prompt": F.col("text"), "split": F.when(F.col("item_id") % 3 == 0, "test").otherwise("train")},
+    }
+    out = None
+    for i, (name, columns) in enumerate(given.items()):
+        rows = b.where(F.col("item_id") % 8 == i).select("id", "config", *(c.alias(k) for k, c in columns.items()))
+        part = prompts.load_prompts(name, rows, sample=4)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- builds --------------------------------------------------------------------------------------------------------
+
+
+def _built_sql(decided: str) -> str:
+    """Statistics of a build, from ``r0`` (doc_id, source, reason, text) and ``hit`` (doc_id) that ``decided`` defines."""
+    kept = "reason = 'ok' AND hit.doc_id IS NULL"
+    tokens = f"coalesce(sum(len({T.words_sql('text')}) + 1) FILTER ({kept}), 0)"
+    return f"""{decided} SELECT source, count(*) AS docs_seen, count(*) FILTER (reason <> 'ok') AS docs_filtered, count(*) FILTER (hit.doc_id IS NOT NULL) AS docs_contaminated,
+ count(*) FILTER ({kept}) AS docs_kept, cast({tokens} AS BIGINT) AS n_tokens, cast({tokens} // {L} AS BIGINT) AS n_sequences FROM r0 LEFT JOIN hit USING (doc_id) GROUP BY source"""
+
+
+_HIT = f"hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({T.ngrams_sql('ws', 13)}) AS gram FROM (SELECT doc_id, {T.words_sql(T.normalise_sql('text'))} AS ws FROM r0 WHERE reason = 'ok')) JOIN i USING (gram))"
+_R0 = f"r0 AS (SELECT doc_id, source, {_CHAIN} AS reason, CASE WHEN {_CHAIN} = 'ok' THEN {{}} ELSE text END AS text FROM s)"
+
+
+@query(_built_sql(f"WITH {_SHARES}, {_R0.format(_redact_sql('text'))}, {_PROMPTS}, {_index_sql(13)}, {_HIT}"))
 def build_stats(spark, sf_dir):
-    kept = _offline(spark, sf_dir)
-    ok = kept.where("reason = 'ok'")
-    hit = decontam.scan(ok, decontam.build_index(_prompts(spark, sf_dir), 13), 13).select("doc_id").distinct().withColumn("hit", F.lit(True))
-    rows = kept.select("doc_id", "source", "reason", F.size(T.words(F.col("text"))).alias("n")).join(hit, "doc_id", "left")
-    good = (F.col("reason") == "ok") & F.col("hit").isNull()
-    return rows.groupBy("source").agg(
-        F.count(F.lit(1)).alias("docs_seen"),
-        F.count_if(F.col("reason") != "ok").alias("docs_filtered"),
-        F.count_if(F.col("hit")).alias("docs_contaminated"),
-        F.count_if(good).alias("docs_kept"),
-        F.coalesce(F.sum(F.when(good, F.col("n") + 1)), F.lit(0)).cast("long").alias("n_tokens"),
-    )
+    built = builds.decide(documents(spark, sf_dir, "doc_id", "source", "text"), decontam.build_index(_prompts(spark, sf_dir), 13), 13)
+    return builds.statistics(built, L).drop("docs_deduped")
+
+
+@query()
+def build_stats_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    return builds.statistics(builds.decide(docs, decontam.build_index(_prompts(spark, sf_dir), 13), 13, dedup.MinHashConfig()), L)
+
+
+@query(f"""WITH {_SHARES}, {_R0.format('text')}, {_PROMPTS}, {_index_sql(13)}, {_HIT} SELECT doc_id, source, CASE WHEN hit.doc_id IS NOT NULL THEN 'contaminated' ELSE reason END AS reason,
+ CASE WHEN reason = 'ok' AND hit.doc_id IS NULL THEN {_redact_sql('text')} ELSE text END AS text FROM r0 LEFT JOIN hit USING (doc_id)""")
+def filter_chain_live(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    return filters.filter_live(docs, decontam.build_index(_prompts(spark, sf_dir), 13), 13).select("doc_id", "source", "reason", "text")
+
+
+@query(f"WITH {_PROMPTS}, {_index_sql(13)} SELECT benchmark_id, count(*) AS n_ngrams, md5(string_agg(gram, chr(10) ORDER BY gram)) AS digest FROM i GROUP BY 1")
+def index_round_trip(spark, sf_dir):
+    lines = decontam.index_json(decontam.build_index(_prompts(spark, sf_dir), 13), 13)
+    back = decontam.index_from_json(lines, 13).groupBy("benchmark_id")
+    return back.agg(F.count(F.lit(1)).alias("n_ngrams"), F.md5(F.array_join(F.sort_array(F.collect_list("gram")), "\n")).alias("digest"))
+
+
+@query(f"WITH {_PROMPTS}, {_index_sql(13)}, {_scan_sql(13)} SELECT doc_id, coalesce(sum(n_matches), 0) = 0 AS keep, CASE WHEN coalesce(sum(n_matches), 0) > 0 THEN 'contaminated' ELSE 'ok' END AS reason, cast(coalesce(sum(n_matches), 0) AS DOUBLE) AS score FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id")
+def filter_decontam(spark, sf_dir):
+    return decontam.decide(table(spark, sf_dir, "documents").select("doc_id"), _matches(spark, sf_dir, 13)).select("doc_id", "keep", "reason", "score")
+
+
+@query(f"""WITH {_PROMPTS}, {_index_sql(13)}, {_scan_sql(13)} SELECT benchmark_id, benchmark_id || ',' || n_examples || ',' || matched_docs || ',' || scanned_docs || ',' || format('{{:.6f}}', matched_docs / scanned_docs) AS line FROM (
+ SELECT b.benchmark_id, b.n_examples, (SELECT count(DISTINCT doc_id) FROM m WHERE m.benchmark_id = b.benchmark_id) AS matched_docs, (SELECT count(*) FROM documents) AS scanned_docs FROM (SELECT benchmark_id, count(*) AS n_examples FROM p GROUP BY 1) b)""")
+def report_csv(spark, sf_dir):
+    return decontam.report_lines(decontam.report(table(spark, sf_dir, "documents"), _prompts(spark, sf_dir), _matches(spark, sf_dir, 13)))

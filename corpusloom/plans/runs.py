@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import mixture, packing, runs
+from itertools import repeat
+
+from corpusloom.functions import numeric
+from corpusloom.operators import governance, mixture, packing, provenance, runs
 from corpusloom.plans import corpus
 from corpusloom.plans.corpus import table
 from corpusloom.sources import files
@@ -61,16 +64,9 @@ def segment_check(spark, sf_dir):
     return s.agg(F.count(F.lit(1)).alias("n_sequences"), short.alias("n_short"), top.alias("max_segment")).withColumn("passed", (F.col("n_short") == 0) & (F.col("max_segment") < 10_000))
 
 
-@query("SELECT source, lang, count(*) AS n_docs FROM documents WHERE source || lang NOT IN (SELECT source || lang FROM documents WHERE doc_id % 7 = 0) GROUP BY ALL")
-def manifest_resume_antijoin(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    done = d.where("doc_id % 7 = 0").select("source", "lang").distinct()  # what earlier shards' manifests list
-    return files.pending(d, done, ["source", "lang"]).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 @query(f"""WITH {corpus._spans_sql(True)}, w AS (SELECT DISTINCT sequence_id, sequence_id // {corpus.PER_SHARD} AS shard_id FROM ids), m AS (SELECT shard_id FROM w GROUP BY 1 HAVING shard_id < (SELECT (max(shard_id) + 1) // 2 FROM w))
  SELECT shard_id, count(*) AS n_sequences, min(sequence_id) AS first_id, max(sequence_id) AS last_id FROM w WHERE shard_id NOT IN (SELECT shard_id FROM m) GROUP BY 1""")
-def manifest_resume_shards(spark, sf_dir):
+def manifest_resume_antijoin(spark, sf_dir):
     work = corpus._ids(spark, sf_dir).select("sequence_id", F.floor(F.col("sequence_id") / corpus.PER_SHARD).alias("shard_id")).distinct()
     listed = corpus.shard_manifest(spark, sf_dir).select("shard_id")
     half = listed.agg(F.floor((F.max("shard_id") + 1) / 2).alias("half"))  # one row
@@ -80,6 +76,16 @@ def manifest_resume_shards(spark, sf_dir):
     )
 
 
+@query(f"WITH {_SHARES} SELECT source, round(share / (SELECT sum(share) FROM t WHERE source IN (SELECT source FROM documents)), 9) AS share FROM t WHERE source IN (SELECT source FROM documents)")
+def resolve_config(spark, sf_dir):
+    return governance.resolve_config(_targets(spark), table(spark, sf_dir, "documents")).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {_SHARES} SELECT source, cast(floor(1000000007 * share) AS BIGINT) AS tokens FROM t")
+def source_budgets(spark, sf_dir):
+    return governance.source_budgets(_targets(spark), 1_000_000_007).select("source", "tokens")
+
+
 def _counts(spark, sf_dir):
     rows = corpus._spans(spark, sf_dir).groupBy("source").agg((F.max("seq") + 1).alias("n")).collect()  # one row a source
     return {r["source"]: int(r["n"]) for r in sorted(rows)}
@@ -88,16 +94,13 @@ def _counts(spark, sf_dir):
 @query()
 def compose_schedule(spark, sf_dir):
     counts = _counts(spark, sf_dir)
-    shares = {s: 1 / len(counts) for s in counts}
-    picks = list(mixture.compose_schedule(counts, shares, seed=0))
-    return spark.createDataFrame(picks, "position long, source string, local_id long")
+    return mixture.write_schedule(spark, mixture.compose_schedule(counts, {s: 1 / len(counts) for s in counts}))
 
 
 @query()
 def mixture_schedule(spark, sf_dir):
-    sizes = {s: [corpus.L] * n for s, n in _counts(spark, sf_dir).items()}
-    picks = list(mixture.mixture_schedule(sizes, {s: i + 1.0 for i, s in enumerate(sizes)}))
-    return spark.createDataFrame(picks, "position long, source string, local_id long")
+    sizes = {s: lambda n=n: repeat(corpus.L, n) for s, n in _counts(spark, sf_dir).items()}
+    return mixture.write_schedule(spark, mixture.mixture_schedule(sizes, {s: i + 1.0 for i, s in enumerate(sizes)}))
 
 
 @query()
@@ -106,6 +109,12 @@ def compose_mixed_corpus(spark, sf_dir):
     return mixture.apply_schedule(ids, compose_schedule(spark, sf_dir)).select("position", "source", "seq", "doc_id", "token_start", "token_end")
 
 
+@query("SELECT doc_id, greatest(1, length(text)) AS by_text, greatest(1, len(string_split(text, ' '))) AS by_array FROM documents")
+def default_measure(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", mixture.measure(F.col("text")).alias("by_text"), mixture.measure(F.split("text", " "), "array").alias("by_array"))
+
+
 @query("""SELECT doc_id, trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_') || '_' || lang AS unique_id FROM documents""")
 def unique_source_id(spark, sf_dir):
     name = F.regexp_replace(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -114,19 +123,19 @@ def unique_source_id(spark, sf_dir):
 
 # --- logs ----------------------------------------------------------------------------------------------------------
 
-_LOG = "l AS (SELECT user_id, event_id AS step, CASE WHEN event_id % 997 = 5 THEN 'nan'::DOUBLE WHEN event_id % 101 = 3 THEN value * 40 ELSE value END AS loss FROM events WHERE value IS NOT NULL)"
+_LOG = "l AS (SELECT user_id, event_id AS step, CASE WHEN event_id % 997 = 5 THEN 'nan'::DOUBLE WHEN event_id % 101 = 3 THEN value * 40 ELSE value END AS loss FROM events)"
 
 
 def _log(spark, sf_dir):
     i = F.col("event_id")
     loss = F.when(i % 997 == 5, F.lit(float("nan"))).when(i % 101 == 3, F.col("value") * 40).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", i.alias("step"), loss.alias("loss"))
+    return table(spark, sf_dir, "events").select("user_id", i.alias("step"), loss.alias("loss"))
 
 
 @query(
     f"""WITH {_LOG}, f AS (SELECT *, count(*) OVER w AS n, avg(loss) OVER w AS m, stddev_pop(loss) OVER w AS s FROM l WHERE isfinite(loss) WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
  SELECT user_id, step, CASE WHEN n < 50 OR s <= 0 THEN 'ok' WHEN (loss - m) / s >= 6 THEN 'hard' WHEN (loss - m) / s >= 3 THEN 'soft' ELSE 'ok' END AS verdict FROM f
- UNION ALL SELECT user_id, step, 'hard' FROM l WHERE NOT isfinite(loss)"""
+ UNION ALL SELECT user_id, step, 'hard' FROM l WHERE loss IS NULL OR NOT isfinite(loss)"""
 )
 def loss_watchdog(spark, sf_dir):
     return runs.loss_watchdog(_log(spark, sf_dir), by="user_id").select("user_id", "step", "verdict")
@@ -200,14 +209,8 @@ def step_time_percentiles(spark, sf_dir):
     return runs.nearest_rank(e, "value", "event_type", [0.5, 0.9, 0.99])
 
 
-@query("SELECT step, r <= 3 OR step % 500 = 0 AS kept, r = 1 AS is_latest FROM (SELECT step, row_number() OVER (ORDER BY step DESC) AS r FROM (SELECT event_id * 100 AS step FROM events WHERE event_id < 60 AND event_id % 7 <> 3))")
-def checkpoint_retention(spark, sf_dir):
-    c = table(spark, sf_dir, "events").where("event_id < 60").select((F.col("event_id") * 100).alias("step"), (F.col("event_id") % 7 != 3).alias("complete"))
-    return runs.retention(c, 3, 500).select("step", "kept", "is_latest")
-
-
 @query("SELECT run, step, r <= 3 OR step % 500 = 0 AS kept, r = 1 AS is_latest FROM (SELECT run, step, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM (SELECT user_id AS run, event_id * 100 AS step FROM events WHERE event_id % 7 <> 3))")
-def checkpoint_retention_runs(spark, sf_dir):
+def checkpoint_retention(spark, sf_dir):
     i = F.col("event_id")
     c = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), (i * 100).alias("step"), (i % 7 != 3).alias("complete"))
     return runs.retention(c, 3, 500, by="run").select("run", "step", "kept", "is_latest")
@@ -259,3 +262,71 @@ def sweep_log_losses(spark, sf_dir):
 def human_formats(spark, sf_dir):
     n = F.sum("n_chars") * F.when(F.col("source").endswith("1"), 1000).otherwise(1)
     return table(spark, sf_dir, "documents").groupBy("source").agg(runs.human_count(n).alias("human"))
+
+
+@query("SELECT count(DISTINCT user_id % 20) AS n_sources, cast(sum(event_id % 50) AS BIGINT) AS tokens, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS runtime_s, round(sum(event_id % 50) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS tok_per_s FROM events")
+def monitor_total(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    m = runs.monitor_total(e.select((F.col("user_id") % 20).alias("source"), "ts", (F.col("event_id") % 50).alias("tokens")))
+    return m.select("n_sources", "tokens", F.round("runtime_s", 3).alias("runtime_s"), F.round("tok_per_s", 9).alias("tok_per_s"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN epoch_us(ts) // 1000000 - 7200 ELSE epoch_us(ts) // 1000000 END::DOUBLE AS seconds FROM events")
+def iso_times(spark, sf_dir):
+    i, t = F.col("event_id"), F.col("ts").cast("timestamp")
+    plain = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(i % 4 == 0, F.concat(plain, F.lit("Z"))).when(i % 4 == 1, F.concat(plain, F.lit("+02:00"))).when(i % 4 == 2, plain).otherwise(F.concat(F.lit("at "), plain))
+    return table(spark, sf_dir, "events").select("event_id", runs.iso_seconds(text).alias("seconds"))
+
+
+@query("SELECT sequence_id, pos, round(avg(x), 6) AS mean FROM (SELECT 0 AS sequence_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 1 AND vec_id % 5 <> 2 ORDER BY vec_id DESC LIMIT 6)) GROUP BY ALL")
+def merged_weights(spark, sf_dir):
+    from corpusloom.operators import evals
+
+    e = table(spark, sf_dir, "embeddings")
+    c = e.select(F.col("vec_id").alias("step"), (F.col("vec_id") % 3 != 1).alias("complete"), (F.col("vec_id") % 5 == 2).alias("merged"))
+    last = runs.latest_to_merge(c, 6).select(F.col("step").alias("vec_id"))
+    m = evals.element_mean(F.col("embedding"), e.join(last, "vec_id").withColumn("sequence_id", F.lit(0)), ["sequence_id"])
+    return m.select("sequence_id", "pos", F.round("mean", 6).alias("mean"))
+
+
+_Z = "z AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS DOUBLE) * 20) AS z, vec_id % 64 AS y FROM embeddings), l AS (SELECT vec_id, y, z, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) AS lse FROM z)"
+
+
+@query(f"WITH {_Z}, c AS (SELECT vec_id, lse - z[y + 1] + 0.0001 * lse * lse AS ce, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS w FROM l) SELECT vec_id, round(ce, 6) AS ce, round((SELECT sum(ce * w) / greatest(sum(w), 1) FROM c), 6) AS mean FROM c")
+def cross_entropy(spark, sf_dir):
+    z = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20).alias("z"))
+    c = z.select("vec_id", numeric.cross_entropy(F.col("z"), (F.col("vec_id") % 64).cast("int"), 0.0001).alias("ce"), F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0).alias("w"))
+    mean = c.agg(numeric.weighted_mean(F.col("ce"), F.col("w")).alias("mean"))  # one row
+    return c.crossJoin(F.broadcast(mean)).select("vec_id", F.round("ce", 6).alias("ce"), F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH e AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: cast(x AS DOUBLE) * 20) AS t, list_transform(b.embedding, lambda x: cast(x AS DOUBLE) * 20) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+ k AS (SELECT vec_id, t[1:8] AS t, [s[cast(i AS INTEGER) + 1] for i in [0, 9, 18, 27, 36, 45, 54, 63]] AS s FROM e), l AS (SELECT vec_id, t, s, ln(list_sum(list_transform(t, lambda x: exp(x)))) AS a, ln(list_sum(list_transform(s, lambda x: exp(x)))) AS b FROM k)
+ SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: exp(t[i] - a) * ((t[i] - a) - (s[i] - b)))), 6) AS divergence, round(0.7 * 1.5 + 0.3 * list_sum(list_transform(range(1, 9), lambda i: exp(t[i] - a) * ((t[i] - a) - (s[i] - b)))), 6) AS loss FROM l""")
+def top_k_divergence(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20).alias("z"))
+    pairs = e.withColumnRenamed("z", "t").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("z").alias("s")), "vec_id")
+    d = numeric.top_k_divergence(F.col("s"), F.slice("t", 1, 8), F.sequence(F.lit(0), F.lit(63), F.lit(9)))
+    loss = numeric.distilled(F.lit(1.5), [d, d], [1.0, 3.0], F.lit(0.7))
+    return pairs.select("vec_id", F.round(d, 6).alias("divergence"), F.round(loss, 6).alias("loss"))
+
+
+@query("""SELECT n_nationkey, 12 * (2 * h * h + 2 * h * h * 0.25 + 3 * h * 4 * h + 2 * h) + 1000 * h + h AS parameters, round(6 * 1000.0 * (n_nationkey + 1) * 50 / 1e9, 9) AS utilisation, greatest(1, ceil(1000000 * n_nationkey / (8.0 * 2048)))::BIGINT AS steps,
+ CASE WHEN n_nationkey % 4 = 0 THEN 1 WHEN n_nationkey % 4 = 1 THEN 2 WHEN n_nationkey % 4 = 2 THEN 3 ELSE 8 END AS micro_batch FROM (SELECT n_nationkey, 64 * (n_nationkey + 1) AS h FROM nation)""")
+def model_arithmetic(spark, sf_dir):
+    k = F.col("n_nationkey")
+    h = 64 * (k + 1)
+    pick = lambda r, v: F.when(k % 4 == r, v)
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        numeric.parameter_count(h, F.lit(12), 4 * h, F.lit(1000), F.lit(0.25)).alias("parameters"),
+        F.round(numeric.utilisation(F.lit(1000.0), (k + 1) * 50.0, F.lit(1e9)), 9).alias("utilisation"),
+        numeric.token_steps(k * 1_000_000, F.lit(8), F.lit(2048)).cast("long").alias("steps"),
+        runs.micro_batch(pick(0, 1), pick(1, 2), pick(2, 3)).alias("micro_batch"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN s >= 3600 THEN s // 3600 || 'h' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' ELSE s // 60 || 'm' || lpad((s % 60)::VARCHAR, 2, '0') || 's' END AS human FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events)")
+def human_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", runs.human_seconds(F.col("event_id") * 7 % 9000).alias("human"))

@@ -21,15 +21,15 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     "f,text,keep,reason",
     [
-        (filters.LengthFilter(10, 100), "hi", False, "too_short"),
-        (filters.LengthFilter(1, 5), "hello world", False, "too_long"),
-        (filters.LengthFilter(2, 100), "hello", True, "ok"),
-        (filters.RepetitionFilter(), "spam " * 80 + " ".join(f"w{i}" for i in range(20)), False, "top_word_repeated"),
-        (filters.RepetitionFilter(), " ".join(f"w{i}" for i in range(100)), True, "ok"),
+        (filters.LengthFilter(10, 100), "nine char", False, "too_short"),
+        (filters.LengthFilter(1, 5), "sixsix", False, "too_long"),
+        (filters.LengthFilter(2, 6), "sixsix", True, "ok"),
+        (filters.RepetitionFilter(), "buy " * 21 + " ".join(f"w{i}" for i in range(79)), False, "top_word_repeated"),
+        (filters.RepetitionFilter(), " ".join(f"buy w{i} x{i} y{i} z{i}" for i in range(20)), True, "ok"),
         (filters.RepetitionFilter(), "a b c d e " * 3 + " ".join(f"w{i}" for i in range(5)), False, "top_ngram_repeated"),
         (filters.RepetitionFilter(), " \n ", False, "empty"),
-        (filters.SymbolFilter(), "!@#$%^&*()" * 10, False, "too_symbolic"),
-        (filters.SymbolFilter(), "a plain sentence, really.", True, "ok"),
+        (filters.SymbolFilter(), "a;;b--c??" * 7, False, "too_symbolic"),
+        (filters.SymbolFilter(), "commas, and (brackets), but mostly letters", True, "ok"),
         (filters.SymbolFilter(), "abcdefg!!!", True, "ok"),
         (filters.SymbolFilter(), "", False, "empty"),
     ],
@@ -62,13 +62,47 @@ def test_text_functions(spark):
 
 
 def test_decontamination(spark):
-    prompts = spark.createDataFrame([("a", "What Is The Capital Of France"), ("b", "is the capital of spain"), ("c", " ")], "benchmark_id string, prompt string")
-    docs = spark.createDataFrame([(1, "Today's lesson: what is the capital of france is paris."), (2, "is the, capital OF"), (3, "too short"), (4, None)], "doc_id long, text string")
-    m = decontam.scan(docs, decontam.build_index(prompts, 4), 4)
-    assert {(r.doc_id, r.benchmark_id): r.n_matches for r in m.collect()} == {(1, "a"): 3, (1, "b"): 1, (2, "a"): 1, (2, "b"): 1}
-    rep = {r.benchmark_id: (r.n_examples, r.matched_docs, r.rate) for r in decontam.report(docs, prompts, m).collect()}
-    assert rep == {"a": (1, 2, 0.5), "b": (1, 2, 0.5), "c": (1, 0, 0.0)}
+    prompts = spark.createDataFrame([("a", "Which River Crosses The Old Town"), ("b", "river crosses the old mill"), ("c", " ")], "benchmark_id string, prompt string")
+    rows = [(1, "They asked: which river crosses THE old, town? Nobody knew."), (2, "river crosses the... OLD"), (3, "too short"), (4, None), (5, "crosses the old town, crosses the old town")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontam.build_index(prompts, 4)
+    want = {(1, "a"): 3, (1, "b"): 1, (2, "a"): 1, (2, "b"): 1, (5, "a"): 2}
+    m = decontam.scan(docs, index, 4)
+    assert {(r.doc_id, r.benchmark_id): r.n_matches for r in m.collect()} == want
+    rep = {r.benchmark_id: (r.n_examples, r.matched_docs, r.rate, r.any_docs, r.example_ids) for r in decontam.report(docs, prompts, m).collect()}
+    assert rep == {"a": (1, 3, 0.6, 3, [1, 2, 5]), "b": (1, 2, 0.4, 3, [1, 2]), "c": (1, 0, 0.0, 3, None)}
     assert [r.doc_id for r in decontam.keep_clean(docs, m).orderBy("doc_id").collect()] == [3, 4]
+    again = decontam.replace_benchmark(index, decontam.build_index(prompts.where("benchmark_id = 'b'").withColumn("prompt", F.lit("one two three four")), 4))
+    assert {r.gram for r in again.where("benchmark_id = 'b'").collect()} == {"one two three four"} and again.where("benchmark_id = 'a'").count() == 3
+    sizes = {r.benchmark_id: (r.n_examples, r.n_ngrams) for r in decontam.index_sizes(prompts, index).collect()}
+    assert sizes == {"a": (1, 3), "b": (1, 2), "c": (1, 0)}
+
+
+def test_large_index_is_joined(spark, monkeypatch, tmp_path):
+    """Beyond the size whose hashes are sent to workers, the join alone gives the same matches; an index survives its file."""
+    prompts = spark.createDataFrame([("a", "one two three four five")], "benchmark_id string, prompt string")
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, "two three four")], "doc_id long, text string")
+    decontam.save_index(decontam.build_index(prompts, 3), 3, str(tmp_path / "i"))
+    index = decontam.load_index(spark, str(tmp_path / "i"), 3)
+    want = [tuple(r) for r in decontam.scan(docs, index, 3).orderBy("doc_id").collect()]
+    assert want == [(1, "a", 2), (2, "a", 1)]
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 1)
+    assert [tuple(r) for r in decontam.scan(docs, index, 3).orderBy("doc_id").collect()] == want
+    with pytest.raises(Exception, match="other n-grams"):
+        decontam.load_index(spark, str(tmp_path / "i"), 4).collect()
+
+
+def test_live_order_sees_personal_data(spark):
+    """A prompt with an address in it matches the raw text, not the redacted one."""
+    prompts = spark.createDataFrame([("a", "write to ann at bo@cy.org today please")], "benchmark_id string, prompt string")
+    body = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{body} write to ann at bo@cy.org today please"), (2, f"{body} bo@cy.org"), (3, "short bo@cy.org")], "doc_id long, text string")
+    index = decontam.build_index(prompts, 6)
+    live = {r.doc_id: (r.reason, r.score) for r in filters.filter_live(docs, index, 6).collect()}
+    assert live[1] == ("contaminated", 4.0) and live[2] == ("ok", None) and live[3][0] == "too_short"
+    texts = {r.doc_id: r.text for r in filters.filter_live(docs, index, 6).collect()}
+    assert "bo@cy.org" in texts[1] and texts[2].endswith("<EMAIL>") and "bo@cy.org" in texts[3]
+    assert decontam.scan(filters.filter_documents(docs), index, 6).count() == 0
 
 
 def naive_pack(docs, length, drop):
@@ -124,22 +158,38 @@ def test_schedules():
         with pytest.raises(ValueError):
             list(mixture.compose_schedule(counts, bad))
     sizes = {"x": [1] * 9000, "y": [100] * 200}
+    of = lambda d: {s: lambda v=v: iter(v) for s, v in d.items()}
     done = {"x": 0, "y": 0}
-    for _, s, k in mixture.mixture_schedule(sizes, {"x": 1, "y": 1}, on_exhaust="stop"):
+    for _, s, k in mixture.mixture_schedule(of(sizes), {"x": 1, "y": 1}, on_exhaust="stop"):
         done[s] += sizes[s][k]
     assert 0.45 < done["x"] / sum(done.values()) < 0.55
-    assert len(list(mixture.mixture_schedule({"x": [1] * 5, "y": [1] * 100}, {"x": 1, "y": 1}))) == 105
-    assert len(list(mixture.mixture_schedule({"x": [1] * 5}, {"x": 1}, on_exhaust="cycle", limit=12))) == 12
+    assert len(list(mixture.mixture_schedule(of({"x": [1] * 5, "y": [1] * 100}), {"x": 1, "y": 1}))) == 105
+    assert len(list(mixture.mixture_schedule(of({"x": [1] * 5}), {"x": 1}, on_exhaust="cycle", limit=12))) == 12
+    assert list(mixture.mixture_schedule(of({"x": []}), {"x": 1}, on_exhaust="cycle", limit=12)) == []
+    with pytest.raises(ValueError):
+        mixture.check_manifests([{"tokenizer_sha256": "a", "sequence_length": 8}, {"tokenizer_sha256": "b", "sequence_length": 8}])
+
 
+def test_schedule_is_written_in_chunks(spark):
+    counts = {"a": 70, "b": 90}
+    picks = list(mixture.compose_schedule(counts, {"a": 0.3, "b": 0.7}))
+    rows = mixture.write_schedule(spark, iter(picks), chunk=37).collect()
+    assert sorted(map(tuple, rows)) == picks
+    taken = {"a": 0, "b": 0}
+    for position, source, local in picks:  # a pick after the first is of a source that is furthest behind, if any is
+        lag = {s: share * position - taken[s] for s, share in (("a", 0.3), ("b", 0.7)) if taken[s] < counts[s]}
+        assert local == taken[source] and (position < 16 or max(lag.values()) <= 0 or lag[source] == max(lag.values()))
+        taken[source] += 1
 
-@pytest.mark.parametrize("text,right", [("B", True), ("  B  ", True), ("The answer is B.", True), ("Answer: B", True), ("(B)", True), ("b", True), ("After consideration: B.", False), ("I think B is correct because…", False), ("nothing here", False), ("", False)])
+
+@pytest.mark.parametrize("text,right", [(" d ", True), ("D", True), ("the final answer is: d, surely", True), ("[D] since", True), ("Choice is D", True), ("well, D", False), ("E or D", False), ("Dunno? no: E", True), ("9", False), ("", False)])
 def test_letters(spark, text, right):
-    assert one(spark, evals.letter_score(F.col("t"), F.lit("B"), "BDEFGH"), t=text) is right
+    assert one(spark, evals.letter_score(F.col("t"), F.lit("D")), t=text) is right
 
 
 def test_numbers(spark):
-    assert one(spark, evals.gold_number(F.col("t")), t="interim\n#### 5\nmore\n#### 99") == "5"
-    for text, want in (("#### 4 … #### 5", "5"), ("the answer is 42", "42"), ("none", None), ("#### 5.0", "5"), ("5.5", "5.5"), ("-3", "-3")):
+    assert one(spark, evals.gold_number(F.col("t")), t="so 8 of 9\n#### 17\nor rather\n####  -3.5") == "17"
+    for text, want in (("#### 6, no: #### 7", "7"), ("that makes 12 or 31", "31"), ("no idea", None), ("#### 8.0", "8"), ("2.25", "2.25"), ("-9", "-9")):
         assert one(spark, evals.predicted_number(F.col("t")), t=text) == want
 
 
@@ -184,12 +234,15 @@ def test_dedup_stream(spark, tmp_path):
 def test_files(spark, tmp_path):
     import pyarrow as pa
 
+    seqs = spark.createDataFrame([(i // 3, i % 3, [i * 8 + k for k in range(8)]) for i in range(8)], "shard_id long, local_id long, tokens array<bigint>")
+    done = files.write_token_files(seqs, f"file://{tmp_path}/t", 8).collect()
+    assert sorted((r.file, r.n_sequences, r.bytes) for r in done) == [(f"shard-{s:06d}/tokens.bin", n, n * 32) for s, n in ((0, 3), (1, 3), (2, 2))]
+    (tmp_path / "t" / "shard-000002" / "tokens.bin").open("ab").write(b"\0" * 20)  # a short tail
+    back = files.read_token_files(spark, str(tmp_path / "t"), 8, rows_each=2).orderBy("path", "local_id").collect()
+    assert [r.tokens for r in back] == [r.tokens for r in seqs.orderBy("shard_id", "local_id").collect()]
+    with pytest.raises(ValueError):
+        files.write_token_files(seqs, "s3a://x/y", 8)
     seqs = spark.createDataFrame([(0, i, [i * 8 + k for k in range(8)]) for i in range(5)], "shard_id long, local_id long, tokens array<bigint>")
-    content = files.tokens_to_binary(seqs).first().content
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "tokens.bin").write_bytes(bytes(content))
-    back = files.read_token_files(spark, str(tmp_path / "t"), 8).orderBy("local_id").collect()
-    assert [r.tokens for r in back] == [r.tokens for r in seqs.orderBy("local_id").collect()]
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.arrow").write_bytes(files.arrow_file(pa.table({"x": [1, 2]})))
     assert [r.x for r in files.read_arrow_files(spark, str(tmp_path / "a"), "x long").collect()] == [1, 2]
@@ -223,7 +276,7 @@ def test_prompt_query_cuts_nothing(spark):
 
     sf = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in plans.prompt_whole_question(spark, sf).collect():
+    for r in plans.prompt_template(spark, sf).collect():
         assert r.prompt is None if text[r.doc_id] is None else r.prompt.startswith(f"Q: {text[r.doc_id]}\nA. ")
 
 
@@ -240,7 +293,7 @@ def test_retention_query_judges_every_event(spark):
 
     sf = "/root/testdata/sf0.001"
     complete = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 7 <> 3").count()
-    assert plans.checkpoint_retention_runs(spark, sf).count() == complete
+    assert plans.checkpoint_retention(spark, sf).count() == complete
 
 
 def test_resume_leaves_half_the_shards_at_any_size(spark):
@@ -248,7 +301,7 @@ def test_resume_leaves_half_the_shards_at_any_size(spark):
 
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         shards = {r.shard_id for r in corpus.shard_manifest(spark, sf).collect()}
-        left = {r.shard_id for r in plans.manifest_resume_shards(spark, sf).collect()}
+        left = {r.shard_id for r in plans.manifest_resume_antijoin(spark, sf).collect()}
         assert left == {s for s in shards if s >= len(shards) // 2} and left
 
 
