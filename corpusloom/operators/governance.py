@@ -172,3 +172,26 @@ def source_table(sources: DataFrame, licenses: DataFrame, default: str = "see re
 def source_budgets(shares: DataFrame, total: int) -> DataFrame:
     """``shares`` (source, share) with tokens: the whole part of its share of ``total``."""
     return shares.withColumn("tokens", F.floor(F.lit(total) * F.col("share")))
+
+
+def unique_source_ids(datasets: DataFrame) -> DataFrame:
+    """(dataset, config, split, unique_id) of ``datasets``: the short name with config and split; an id that two rows share is an error."""
+    parts = [F.col(c) for c in ("config", "split")]
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    out = datasets.select("dataset", "config", "split", F.concat_ws("_", clean(F.substring_index("dataset", "/", -1)), *(clean(c) for c in parts)).alias("unique_id"))
+    twice = [r.unique_id for r in out.groupBy("unique_id").count().where("count > 1").collect()]  # sources are few
+    if twice:
+        raise ValueError(f"source ids that several sources share: {', '.join(sorted(twice))}")
+    return out
+
+
+def smoke(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(source, n, mean_chars, passed, error): a few sums of each source's texts; one without rows, or that can't be read, fails and the others still run."""
+    out = []
+    for name, load in sources.items():
+        try:
+            n, chars = load().agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+            out.append((name, n, (chars or 0) // n if n else 0, n > 0, None if n else "no rows"))
+        except Exception as e:
+            out.append((name, 0, 0, False, str(e).strip()[:300]))
+    return spark.createDataFrame(out, "source string, n long, mean_chars long, passed boolean, error string")

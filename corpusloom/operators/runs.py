@@ -52,6 +52,15 @@ def dominant(mix: DataFrame, by: str, source: str = "source", size: str = "n_tok
     return mix.groupBy(by).agg(F.min(F.struct((-F.col(size)).alias("s"), F.col(source).alias("name"))).alias("m")).select(by, F.col("m.name").alias("dominant"))
 
 
+def hourly_cost(rate: Column, pods: Column) -> Column:
+    return rate * pods
+
+
+def charge(rate: Column, seconds: Column) -> Column:
+    """What ``seconds`` cost at an hourly rate."""
+    return rate * seconds / 3600
+
+
 def ledger(charges: DataFrame, ceiling: float, by: str, order: list[str], warn: float = 0.8) -> DataFrame:
     """Running totals of ``charges`` (…, delta_usd) with near_ceiling and blocked."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -96,6 +105,13 @@ def latest_to_merge(checkpoints: DataFrame, n: int) -> DataFrame:
     return checkpoints.where("complete AND NOT merged").orderBy(F.col("step").desc()).limit(n)
 
 
+def resume_position(state: dict, strict: bool = False) -> int:
+    """The data position of a saved state; one without it starts at 0, or is an error if ``strict``."""
+    if "data_position" not in state and strict:
+        raise KeyError("the state has no data_position")
+    return int(state.get("data_position", 0))
+
+
 def micro_batch(command: Column, model: Column, data: Column) -> Column:
     """The micro-batch that counts: the command's, the model's, the data's, else 8."""
     return F.coalesce(command, model, data, F.lit(8))

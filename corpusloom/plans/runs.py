@@ -198,7 +198,7 @@ _CHARGES = "SELECT user_id AS pod, event_id, round(event_id % 5 * 0.5 * (event_i
 @query(f"SELECT pod, event_id, round(total, 6) AS total_usd, total >= 1.6 AS near_ceiling, total >= 2.0 AS blocked FROM (SELECT *, sum(delta_usd) OVER (PARTITION BY pod ORDER BY event_id) AS total FROM ({_CHARGES}))")
 def cost_ledger(spark, sf_dir):
     i = F.col("event_id")
-    charges = table(spark, sf_dir, "events").select(F.col("user_id").alias("pod"), "event_id", F.round(i % 5 * 0.5 * (i % 600) / 3600, 9).alias("delta_usd"))
+    charges = table(spark, sf_dir, "events").select(F.col("user_id").alias("pod"), "event_id", F.round(runs.charge(i % 5 * 0.5, i % 600), 9).alias("delta_usd"))
     out = runs.ledger(charges, 2.0, "pod", ["event_id"])
     return out.select("pod", "event_id", F.round("total_usd", 6).alias("total_usd"), "near_ceiling", "blocked")
 

@@ -177,6 +177,22 @@ def test_tokenizer_file(spark, tmp_path):
     assert [r.doc_id for r in tokenizers.round_trip(docs, spec).collect()] == [4]
     rate = tokenizers.compression(tokenizers.tokenize(docs.withColumn("lang", F.lit("en")), spec)).first()
     assert rate.bytes_per_token == pytest.approx((7 + 3 + 9) / 7)
+    assert [r.text for r in tokenizers.canary(spark, spec, n=5).collect()] and len(tokenizers.canary_texts()) == 208 and tokenizers.canary_texts() == tokenizers.canary_texts()
+
+    class OneByOne:
+        """An encoder without batches: the text's length, and its spec's; local, so that workers get it with the call."""
+
+        def __init__(self, spec):
+            self.n = len(spec)
+
+        def encode(self, text):
+            return [len(text), self.n]
+
+    short = {r.doc_id: r.tokens for r in tokenizers.tokenize(docs, "abc", batch=2, chars=3, make=OneByOne).collect()}
+    assert short == {1: [7, 3], 3: [3, 3], 4: [9, 3]}
+    seen = spark.createDataFrame([(9, [([4, 6], [5]), ([5], []), ([3], []), ([3], []), ([4], [])])], "step long, input_ids_preview array<struct<head:array<int>,tail:array<int>>>")
+    got = {(r.row, r.end): r.decoded for r in tokenizers.decode_previews(seen, spec, chars=3).collect()}
+    assert len(got) == 8 and got[0, "head"] == "one" and got[0, "tail"] == "two" and got[1, "tail"] == ""
     tokenizers.check_special(vocab)
     with pytest.raises(ValueError):
         tokenizers.check_special({**vocab, "<pad>": 9})
@@ -268,6 +284,16 @@ def test_scorecard_files(spark, tmp_path):
     assert [tuple(r) for r in governance.resolve_config(wanted, present).collect()] == [("x", 1.0)]
     with pytest.raises(ValueError):
         governance.resolve_config(wanted, present, strict=True)
+    with pytest.raises(KeyError):
+        runs.resume_position({}, strict=True)
+    assert runs.resume_position({}) == 0 and runs.resume_position({"data_position": 7}, strict=True) == 7
+    named = spark.createDataFrame([("Org/Set-A", "en", "train"), ("x/y", None, "test")], "dataset string, config string, split string")
+    assert {r.unique_id for r in governance.unique_source_ids(named).collect()} == {"set_a_en_train", "y_test"}
+    with pytest.raises(ValueError):
+        governance.unique_source_ids(named.unionByName(named))
+    texts = spark.createDataFrame([("abcd",), ("ab",)], "text string")
+    seen = {r.source: (r.n, r.mean_chars, r.passed, r.error) for r in governance.smoke(spark, {"a": lambda: texts, "b": lambda: texts.where("false"), "c": lambda: spark.read.parquet("/no/such")}).collect()}
+    assert seen["a"] == (2, 3, True, None) and seen["b"] == (0, 0, False, "no rows") and not seen["c"][2] and "PATH_NOT_FOUND" in seen["c"][3]
     assert runs.incident_rate_high(spark.createDataFrame([("r", 6.0), ("s", 1.0)], "reason string, per_1000 double")).where("warn").count() == 1
 
 
