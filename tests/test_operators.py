@@ -380,3 +380,36 @@ def test_scratch_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://somewhere:7077"))
     with pytest.raises(RuntimeError):
         scratch.shared_root(cluster)
+
+
+def test_build_with_dedup_equals_brute_force(spark):
+    """Stages exclude one another: near-duplicates are sought among clean redacted texts, source by source, in order."""
+    from corpusloom.plans import corpus
+
+    sf, cfg = "/root/testdata/sf0.001", dedup.MinHashConfig()
+    docs = filters.filter_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    dirty = {r.doc_id for r in corpus.filter_decontam(spark, sf).where("NOT keep").collect()}
+    clean = [(r.doc_id, r.source, r.text) for r in docs if r.reason == "ok" and r.doc_id not in dirty]
+    twin = {i for i, j in brute_greedy(clean, cfg).items() if j is not None}
+    want = {}
+    for r in docs:
+        row = want.setdefault(r.source, [0] * 6)
+        stage = 1 if r.reason != "ok" else 2 if r.doc_id in dirty else 3 if r.doc_id in twin else 4
+        row[0] += 1
+        row[stage] += 1
+        row[5] += len(r.text.split()) + 1 if stage == 4 else 0
+    got = {r.source: r for r in corpus.build_stats_dedup(spark, sf).collect()}
+    assert {s: [r.docs_seen, r.docs_filtered, r.docs_contaminated, r.docs_deduped, r.docs_kept, r.n_tokens] for s, r in got.items()} == want
+    assert all(r.n_sequences == r.n_tokens // corpus.L for r in got.values())
+
+
+def test_composed_corpus_is_the_schedule_of_all_spans(spark):
+    from corpusloom.plans import corpus
+    from corpusloom.plans import runs as plans
+
+    sf = "/root/testdata/sf0.001"
+    out = plans.compose_mixed_corpus(spark, sf).collect()
+    spans = {tuple(r) for r in corpus._spans(spark, sf).collect()}
+    assert {(r.source, r.seq, r.doc_id, r.token_start, r.token_end) for r in out} == spans and len(out) == len(spans)
+    places = {r.position: (r.source, r.seq) for r in out}
+    assert sorted(places) == list(range(len(places))) and len(set(places.values())) == len(places)
