@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
+
 _U = np.uint64
 
 
@@ -208,7 +210,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             lists, n, ids_sha, text_sha = [], [], [], []
             for t in batch.column(1).to_pylist():
                 got = encoder.encode(t or "")

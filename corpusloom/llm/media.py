@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
 from corpusloom.llm import jpeg
 
 
@@ -225,7 +226,7 @@ def store_texts(docs: DataFrame, cfg: MediaConfig = MediaConfig(), id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in pieces(batches, 1):
             got = [_stored(t or b"", cfg) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = zip(*got, strict=True) if got else [[]] * 7
             yield pa.RecordBatch.from_arrays(

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
 from corpusloom.llm.graph import connected_components
 from corpusloom.sources.scratch import Scratch
 
@@ -108,7 +109,7 @@ def _binary(column: pa.Array) -> list[bytes | None]:
 def _signer(cfg: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinMaxHasher(cfg.permutations, cfg.seed)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sets = [shingle_hashes(t, cfg.shingle_words) for t in _binary(batch.column(1))]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = np.empty((0, cfg.bands), _U)
@@ -140,7 +141,7 @@ def signatures(docs: DataFrame, cfg: NearDupConfig, id_col: str = "doc_id", text
 def _verifier(cfg: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, _U))
-        for batch in batches:
+        for batch in pieces(batches, 2, 3):
             keep = []
             for i, (x, y) in enumerate(zip(_binary(batch.column(2)), _binary(batch.column(3)), strict=True)):
                 if x != last[0]:  # rows come sorted by the first document
@@ -183,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, cfg: NearDupConfig, scratch: Sc
 def _frequencies(cfg: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cfg.frequency_cells, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for t in _binary(batch.column(1)):
                 np.add.at(counts, shingle_hashes(t, cfg.shingle_words) % _U(cfg.frequency_cells), 1)
         cells = np.flatnonzero(counts)
@@ -195,7 +196,7 @@ def _frequencies(cfg: NearDupConfig):
 def _prefixes(cfg: NearDupConfig, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for batch in batches:
+        for batch in pieces(batches, 2):
             parts = []
             for i, t in enumerate(_binary(batch.column(2))):
                 s = shingle_hashes(t, cfg.shingle_words)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
 from corpusloom.sources.scratch import Scratch
 
 
@@ -97,7 +98,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
         named = part if named is None else named.unionByName(part)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             x = [np.sort(_cells(t.lower().split(), cfg.features)).astype(np.int32) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32()))], ["h", "domain", "cells"])
 
@@ -131,7 +132,7 @@ def with_posteriors(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: DomainModel = shared.value
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
             words = [(t or b"").lower().split() for t in texts]
             p = pa.array([m.posterior(x) for x in words], pa.list_(pa.float64()))

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
 from corpusloom.sources.scratch import Scratch
 
 
@@ -112,7 +113,7 @@ def _blocks(sample: DataFrame, cfg: QualityConfig) -> dict[tuple[int, int], list
         bars[q] = int(min(1.0, cfg.sample_bytes / max(1, n)) * (1 << 64))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3):
             out = []
             q, part, ids = (batch.column(i).to_pylist() for i in range(3))
             for row, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
@@ -156,7 +157,7 @@ def _differences(rows: DataFrame, model: QualityModel, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = _Sizer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             x = [sizer.difference(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], [key, "x"])
 
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: QualityModel = shared.value
         sizer = _Sizer(m) if m.good else None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             p = _probabilities(m, sizer, batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -232,7 +233,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: QualityModel = shared.value
         sizer = _Sizer(m) if m.good else None
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(_probabilities(m, sizer, texts) >= threshold))
 

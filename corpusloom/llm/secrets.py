@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -233,14 +235,15 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULE
 
     Positions are code points, the end exclusive. A null or empty text has no
     secrets; repeated rows are scanned alike; other columns are not read.
-    Blocks are Arrow batches, so the index is never larger than one batch.
+    Blocks are pieces of Arrow batches of bounded size, and so is the index;
+    a longer text is a block of its own. An empty table gives no rows.
     """
     schema = "doc_id long, secrets array<struct<kind:string,start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = scanner.spans([t or "" for t in batch.column(1).to_pylist()])
             values = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, kind)], ["doc_id", "secrets"])
@@ -264,7 +267,7 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(rules)
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             at = batch.schema.names.index(text_col)
             texts = batch.column(at).to_pylist()
             found = scanner.spans([t or "" for t in texts])

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import pieces
 from corpusloom.sources.scratch import Scratch
 
 _GZIP = 16 + zlib.MAX_WBITS
@@ -171,7 +172,7 @@ def write_archives(records: DataFrame, cfg: WarcConfig) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data])], ["archive", "content"])
 
         z, parts, size = zlib.compressobj(cfg.level, zlib.DEFLATED, _GZIP), [], 0
-        for batch in batches:
+        for batch in pieces(batches, 2):
             for page, url, payload, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts.append(z.compress(record(page, url, payload or b"", to, cfg)))
                 size += len(payload or b"") + 512
