@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def constants(values: list, kind: str) -> Column:
-    """An array of ``kind`` as one literal, whatever its length; None stays null."""
+    """An array of ``kind`` as one literal, whatever its length; None stays null.
+
+    The cast folds before the run; a lambda would not, and would parse every
+    value anew for each row and step.
+    """
     if not values:
         return F.array().cast(f"array<{kind}>")
-    text = F.split(F.lit("\x01".join("" if v is None else str(v) for v in values)), "\x01")
-    return F.transform(text, lambda v: F.nullif(v, F.lit(""))).cast(f"array<{kind}>")
+    return F.split(F.lit("\x01".join("" if v is None else str(v) for v in values)), "\x01").try_cast(f"array<{kind}>")
 
 
 def cut_points(rows: DataFrame, key: str, pieces: int) -> list:

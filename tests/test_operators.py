@@ -371,6 +371,16 @@ def test_range_of(spark):
     assert {r.k: r.r for r in got} == {k: sum(c <= k for c in cuts) for k in keys}
 
 
+def test_range_of_parses_its_cuts_once(spark):
+    from corpusloom.functions.ranges import constants, range_of
+
+    out = spark.range(4).select(range_of(F.col("id"), [1, 3]).alias("r"), constants([7, None, 9], "int").alias("c"), constants([0.5, None], "double").alias("d"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "split(" not in plan  # folded, so no row parses the cuts
+    assert [r.r for r in out.collect()] == [0, 1, 1, 2]
+    assert out.first().c == [7, None, 9] and out.first().d == [0.5, None]
+
+
 def test_scratch_needs_a_shared_folder():
     from types import SimpleNamespace
 
