@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ranges import constants
 from corpusloom.llm.batches import pieces
 from corpusloom.sources.scratch import Scratch
 
@@ -144,13 +145,21 @@ def with_posteriors(
 
 
 def rate_column(history: list[np.ndarray], floor: Column | None = None, posterior: str = "posterior") -> Column:
-    """A document's rate: from 1, the steps of ``history`` along its posterior, each cut off at ``floor`` (0, at most 1)."""
+    """A document's rate: from 1, the steps of ``history`` along its posterior, each cut off at ``floor`` (0, at most 1).
+
+    The steps are one literal that a fold walks, so neither the plan nor the
+    code that the driver compiles for it grows with them.
+    """
     floor = F.lit(0.0) if floor is None else floor
-    r = F.lit(1.0)
-    for step in history:
-        move = sum((F.col(posterior)[i] * F.lit(float(s)) for i, s in enumerate(step)), F.lit(0.0))
-        r = F.greatest(floor, r - move)
-    return r
+    if not history:
+        return F.lit(1.0)
+    steps = F.array(*(constants([float(s) for s in step], "double") for step in history))
+
+    def follow(at: Column, step: Column) -> Column:
+        move = sum((F.col(posterior)[i] * step[i] for i in range(len(history[0]))), F.lit(0.0))
+        return F.struct(F.greatest(at["floor"], at["r"] - move).alias("r"), at["floor"].alias("floor"))
+
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), floor.alias("floor")), follow, lambda at: at["r"])
 
 
 def fit_rates(

@@ -381,6 +381,19 @@ def test_rates_meet_targets(spark):
         assert min(rates) >= 0
 
 
+def test_rate_does_not_grow_with_its_steps(spark):
+    rng = np.random.default_rng(6)
+    p, history, keep = rng.dirichlet([0.3, 0.3, 0.3], 50), list(rng.normal(0, 0.2, (40, 3))), [None, 0.75, 0.75]
+    rows = spark.createDataFrame([(q.tolist(),) for q in p], "posterior array<double>")
+    out = rows.select("posterior", mixing.rate_column(history, mixing.whole_floor(keep)).alias("r"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("greatest(") == 1
+    for q, r in out.collect():
+        floor, want = float(np.argmax(q) == 0), 1.0
+        for step in history:
+            want = max(floor, want - float(np.dot(q, step)))
+        assert abs(r - want) < 1e-12
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(4, "a"), (7, "b"), (8, None), (None, "a")], "doc_id long, domain string")
     out = mixing.mix_rates(docs_of(spark, EDGES), labels, {"a": 0.5, "b": 0.3, "none": 0.2}).collect()
