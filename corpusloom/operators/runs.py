@@ -62,9 +62,15 @@ def charge(rate: Column, seconds: Column) -> Column:
 
 
 def ledger(charges: DataFrame, ceiling: float, by: str, order: list[str], warn: float = 0.8) -> DataFrame:
-    """Running totals of ``charges`` (…, delta_usd) with near_ceiling and blocked."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = charges.withColumn("total_usd", F.sum("delta_usd").over(w))
+    """Running totals of ``charges`` (…, delta_usd) with near_ceiling and blocked.
+
+    Charges are counted in whole 1e-9 dollars and summed as decimals, so a
+    total is exact in any order of adding and a tie of a later rounding, or a
+    total right at a limit, is not up to an error. Rows that tie in ``order``
+    have the total after all of them, as in SQL.
+    """
+    w = Window.partitionBy(by).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = charges.withColumn("total_usd", F.sum(F.col("delta_usd").cast("decimal(28,9)")).over(w).cast("double"))
     return out.withColumn("remaining_usd", ceiling - F.col("total_usd")).withColumn("near_ceiling", F.col("total_usd") >= warn * ceiling).withColumn("blocked", F.col("total_usd") >= ceiling)
 
 

@@ -362,6 +362,25 @@ def test_dedup_queries_equal_brute_force(spark):
     assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
 
 
+def test_ledger_is_exact_and_ties_share_a_total(spark):
+    from decimal import Decimal
+
+    from corpusloom.operators import runs
+
+    rows = [("a", i, round(i % 5 * 0.5 * (i % 600) / 3600, 9)) for i in range(3000)] + [("t", 0, 0.1)] * 8 + [("t", 1, 0.8), ("t", 2, None), ("n", 0, None)]
+    got = runs.ledger(spark.createDataFrame(rows, "pod string, i int, delta_usd double"), 2.0, "pod", ["i"]).collect()
+    total = {}
+    for p, i, _ in rows:
+        known = [Decimal(str(d)) for q, j, d in rows if q == p and j <= i and d is not None] if p != "a" else None
+        total[p, i] = float(sum(known)) if known else None
+    run = Decimal(0)
+    for p, i, d in rows[:3000]:
+        run += Decimal(str(d))
+        total[p, i] = float(run)
+    assert {(r.pod, r.i): r.total_usd for r in got} == total and len(got) == len(rows)
+    assert [(r.near_ceiling, r.blocked) for r in got if r.pod == "t" and r.i == 1] == [(True, False)]  # 1.6 to the cent
+
+
 def test_range_of(spark):
     from corpusloom.functions.ranges import range_of
 
